@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.cutoffs import Cutoffs, fraction_cutoffs
+from strandloom.llm.leakage import leaked_items
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.topn import top_n
 
@@ -45,8 +46,21 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), key="doc_id", text="text")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = leaked_items(
+        _table(spark, folder, "documents"),
+        _table(spark, folder, "eval_items"),
+        key="doc_id",
+        text="text",
+        boxes="line_boxes",
+        item_key="item_id",
+        item_text="text",
+    )
+    return leaks.select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p6_packed)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p6_packed, p7_found)}
 
 
 _COUNTED = """
