@@ -18,14 +18,14 @@ from pyspark.sql import types as T
 
 from strandloom.llm import fingerprints as fp
 from strandloom.llm.letters import SIZE, plain, stream, trigrams
-from strandloom.llm.runs import Passage, longest_run
+from strandloom.llm.runs import Lines, Passage, longest_run
 from strandloom.workspace import keep
 
 #: Words in a row that make a leak, and the least weighted similarity of a page's window to a passage's.
 MIN_WORDS, MIN_SIMILARITY = 20, 0.5
-#: Letters in a window, and letters of the passage that a candidate's similar windows cover together: a run of
-#: MIN_WORDS words has about twice as many.
-LETTERS, MIN_COVERED = fp.WINDOW + 2, 44
+#: Letters in a window, and letters of the passage that a candidate's similar windows cover in one stretch, or in
+#: all: a run of MIN_WORDS words has about a hundred.
+LETTERS, MIN_COVERED, MIN_SCATTERED = fp.WINDOW + 2, 44, 80
 #: Columns that a page may have, and the space between two (in the boxes' pixels).
 MOST_COLUMNS, GUTTER = 8, 36
 #: Passages indexed (and sent to the executors) at a time; more take further passes over the corpus.
@@ -97,13 +97,18 @@ def shingle_counts(documents: DataFrame, text: str) -> np.ndarray:
 
 
 def _covering(hits: np.ndarray) -> np.ndarray:
-    """(page, passage) of sorted hits (page, passage, start) that cover MIN_COVERED letters of the passage."""
+    """(page, passage) of sorted hits (page, passage, start) that cover enough of the passage."""
     if not len(hits):
         return hits[:, :2]
     new = np.concatenate(([True], (hits[1:, :2] != hits[:-1, :2]).any(axis=1)))
-    step = np.where(new, LETTERS, np.minimum(np.diff(hits[:, 2], prepend=0), LETTERS))
+    ahead = np.diff(hits[:, 2], prepend=0)
+    step = np.where(new, LETTERS, np.minimum(ahead, LETTERS))
+    apart = new | (ahead >= LETTERS)  # a new stretch of overlapping windows
+    stretch = np.flatnonzero(apart)
+    longest = np.maximum.reduceat(np.add.reduceat(step, stretch), np.flatnonzero(new[stretch]))
     first = np.flatnonzero(new)
-    return hits[first[np.add.reduceat(step, first) >= MIN_COVERED], :2]
+    total = np.add.reduceat(step, first)
+    return hits[first[(longest >= MIN_COVERED) | (total >= MIN_SCATTERED)], :2]
 
 
 def _find(texts: list[str], weight: np.ndarray):
@@ -161,7 +166,7 @@ def _candidates(pages: DataFrame, texts: list[str], weight: np.ndarray) -> DataF
     return pages.mapInPandas(search, shape)
 
 
-def _best_run(passage: Passage, orders: list[list[str]], min_words: int) -> int:
+def _best_run(passage: Passage, orders: list[Lines], min_words: int) -> int:
     """The first order's run if it is long enough, else the best of all."""
     best = 0
     for lines in orders:
@@ -180,7 +185,7 @@ def _measured(candidates: DataFrame, texts: list[str], min_words: int) -> DataFr
         for b in batches:
             ids, numbers, words = [], [], []
             for i, orders, ps in zip(b["id"], b["orders"], b["passages"]):
-                orders = [plain("\n".join(lines)).split("\n") for lines in orders[::-1]]
+                orders = [Lines(plain("\n".join(x)).split("\n")) for x in orders[::-1]]
                 for p in ps:
                     if p not in passages:
                         passages[p] = Passage(sent.value[p], min_words)

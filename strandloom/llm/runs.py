@@ -131,7 +131,7 @@ def _fragments(letters: str, start: int, stop: int, line: str, number: int) -> l
     return found
 
 
-def longest_run(passage: Passage, lines: list[str]) -> int:
+def longest_run(passage: Passage, lines: Lines) -> int:
     """How many consecutive words of the passage stand in the lines.
 
     Each line is laid where most of its letter shingles agree with the passage.
@@ -147,7 +147,7 @@ def longest_run(passage: Passage, lines: list[str]) -> int:
     pieces = [
         f
         for line, lo, hi in placed
-        for f in _fragments(passage.letters, max(0, lo - 3), min(n, hi + 4), lines[line], line)
+        for f in _fragments(passage.letters, max(0, lo - 3), min(n, hi + 4), lines.text[line], line)
     ]
     pieces.sort(key=lambda f: (f.line, f.lo))
     best = 0
@@ -157,7 +157,7 @@ def longest_run(passage: Passage, lines: list[str]) -> int:
             for p in reversed(pieces[:i]):
                 if f.line - p.line > MOST_BETWEEN + 1:
                     break
-                if p.line < f.line and p.to_end and p.start < f.start and _follows(passage.letters, p, f, lines):
+                if p.line < f.line and p.to_end and p.start < f.start and _follows(passage.letters, p, f, lines.text):
                     f.start = p.start
                     f.weak = f.weak | p.weak | ({p.hi} if f.lo == p.hi + 1 else set())
         best = max(best, _words(passage, f))
@@ -187,31 +187,40 @@ def _words(passage: Passage, f: _Fragment) -> int:
     return best
 
 
-def _placements(passage: Passage, lines: list[str]) -> tuple[list[tuple[int, int, int]], list[int]]:
+class Lines:
+    """A page's lines of letters in one order, with their shingles."""
+
+    def __init__(self, lines: list[str]):
+        self.text = lines
+        self.numbers = np.array([i for i, x in enumerate(lines) if len(x) >= 5], dtype=np.int64)
+        self.sizes = np.array([len(lines[i]) for i in self.numbers], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.own = trigrams(_folded("".join(lines[i] for i in self.numbers)))
+        self.line = np.repeat(np.arange(len(self.numbers)), self.sizes)[: len(self.own)]
+        self.inside = np.arange(len(self.own)) - self.starts[self.line] <= self.sizes[self.line] - 3
+
+
+def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, int]], list[int]]:
     """(line, from, to): the parts of the passage that lines agree with, up to three a line.
 
     With each comes how many letters agree at most, or -1 where (almost) all do.
     """
     n = len(passage.letters)
-    numbers = np.array([i for i, x in enumerate(lines) if len(x) >= 5], dtype=np.int64)
-    if not len(numbers):
+    sizes, own = lines.sizes, lines.own
+    if not len(own):
         return [], []
-    sizes = np.array([len(lines[i]) for i in numbers])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    own = trigrams(_folded("".join(lines[i] for i in numbers)))
-    line = np.repeat(np.arange(len(numbers)), sizes)[: len(own)]
-    inside = np.arange(len(own)) - starts[line] <= sizes[line] - 3
     # every place of the passage where a line's shingle stands is a vote for (line, offset)
     first = passage.starts[own]
-    count = np.where(inside, passage.starts[own + 1] - first, 0)
+    count = np.where(lines.inside, passage.starts[own + 1] - first, 0)
     who = np.repeat(np.arange(len(own)), count)
     if not len(who):
         return [], []
     nth = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
     at = passage.order[np.repeat(first, count) + nth]
+    whose = lines.line[who]
     longest = int(sizes.max())
     width = n + 2 * longest
-    ballots, votes = np.unique(line[who] * width + at - (who - starts[line[who]]) + longest, return_counts=True)
+    ballots, votes = np.unique(whose * width + at - (who - lines.starts[whose]) + longest, return_counts=True)
     near = votes.copy()  # votes within two letters belong together: misread letters shift what follows
     for d in (1, 2):
         j = np.searchsorted(ballots, ballots + d)
@@ -223,21 +232,22 @@ def _placements(passage: Passage, lines: list[str]) -> tuple[list[tuple[int, int
     offset = ballots % width - longest
     lo = np.maximum(0, offset)
     hi = np.minimum(n, offset + sizes[whose])
-    enough = (near >= 8) | (near >= np.maximum(2, 0.35 * (hi - lo - 2)))
+    full = sizes[whose] - 2
+    enough = (near >= 8) | (near >= np.maximum(np.where(full < 6, 2, 3), 0.35 * (hi - lo - 2)))
     keep = np.flatnonzero(enough & (hi > lo))
     keep = keep[np.lexsort((-votes[keep], -near[keep], whose[keep]))]
     placed: list[tuple[int, int, int]] = []
     taken: list[int] = []
-    current = -1
-    for k in keep.tolist():
-        if whose[k] != current:
-            current, taken = whose[k], []
-        if len(taken) < 3 and all(abs(offset[k] - t) > 2 for t in taken):
-            taken.append(int(offset[k]))
-            wanted = sizes[whose[k]] - 2
-            well = near[k] >= AGREES * wanted or wanted < SHORT
-            agreed = -1 if well else int(near[k]) + 2 + SLACK
-            placed.append((int(numbers[whose[k]]), int(lo[k]), int(hi[k]), agreed))
+    current, settled = -1, False
+    # a line that agrees well somewhere is only laid where it agrees well
+    agrees = ((near >= AGREES * full) | (full < SHORT))[keep].tolist()
+    columns = (x[keep].tolist() for x in (whose, offset, lo, hi, near))
+    for well, i, o, a, b, v in zip(agrees, *columns):
+        if i != current:
+            current, taken, settled = i, [], well
+        if len(taken) < 3 and well >= settled and all(abs(o - t) > 2 for t in taken):
+            taken.append(o)
+            placed.append((int(lines.numbers[i]), a, b, -1 if well else v + 2 + SLACK))
     placed.sort()
     return [p[:3] for p in placed], [p[3] for p in placed]
 
