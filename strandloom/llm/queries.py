@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.cutoffs import Cutoffs, fraction_cutoffs
 from strandloom.llm.leakage import leaked_items
 from strandloom.llm.packing import pack_documents
+from strandloom.llm.residue import residue_spans
 from strandloom.llm.topn import top_n
 
 
@@ -59,8 +60,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return residue_spans(_table(spark, folder, "documents"), key="doc_id", text="text", boxes="line_boxes")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_spans(spark, folder).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p6_packed, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p6_packed, p7_found, p8_found, p8_spans)}
 
 
 _COUNTED = """
