@@ -77,13 +77,17 @@ def weighted(
     """Codons drawn by w_i, flatter at the start; the draw depends on ``seed`` and position alone."""
     flat, plain = _draw_table(weight, temperature), _draw_table(weight, 1.0)
     letters = F.split(clean_protein(protein), "")
+    # the draws first, so that each is computed once and not once per option
+    drawn = F.transform(
+        letters, lambda aa, i: F.struct(aa.alias("aa"), i.alias("i"), seq.hash_uniform(seed, i.cast("string")).alias("u"))
+    )
 
-    def draw(aa: Column, i: Column) -> Column:
-        u = seq.hash_uniform(seed, i.cast("string"))
-        options = F.when(i < n_terminal, F.try_element_at(flat, aa)).otherwise(F.try_element_at(plain, aa))
-        return F.element_at(F.filter(options, lambda o: u < o["to"]), 1)["codon"]
+    def pick(d: Column) -> Column:
+        options = F.when(d["i"] < n_terminal, F.try_element_at(flat, d["aa"]))
+        options = options.otherwise(F.try_element_at(plain, d["aa"]))
+        return F.element_at(F.filter(options, lambda o: d["u"] < o["to"]), 1)["codon"]
 
-    return F.concat(F.array_join(F.transform(letters, draw), ""), F.lit(seq.STOP_CODON))
+    return F.concat(F.array_join(F.transform(drawn, pick), ""), F.lit(seq.STOP_CODON))
 
 
 def candidates(targets: DataFrame, n: int) -> DataFrame:
@@ -100,16 +104,18 @@ def harmonized(
     for aa, family in source_ranked.items():
         for rank, c in enumerate(family):
             same[c] = host_ranked[aa][min(rank, len(host_ranked[aa]) - 1)]
-    same_rank, code, draws = seq.literal_map(same), seq.literal_map(seq.CODE), _draw_table(host, 1.0)
+    draws = _draw_table(host, 1.0)
     body = F.regexp_replace(F.upper(dna), "(TAA|TAG|TGA)$", "")
+    drawn = F.transform(seq.codons(body), lambda c, i: F.struct(
+        c.alias("codon"), seq.hash_uniform(seed, F.lit("noise"), i.cast("string")).alias("chance"),
+        seq.hash_uniform(seed, i.cast("string")).alias("u")))
 
-    def pick(c: Column, i: Column) -> Column:
-        chance = seq.hash_uniform(seed, F.lit("noise"), i.cast("string"))
-        u = seq.hash_uniform(seed, i.cast("string"))
-        drawn = F.element_at(F.filter(F.try_element_at(draws, F.try_element_at(code, c)), lambda o: u < o["to"]), 1)["codon"]
-        return F.when(chance < noise, drawn).otherwise(F.try_element_at(same_rank, c))
+    def pick(d: Column) -> Column:
+        options = F.try_element_at(draws, seq.by_codon(seq.CODE, d["codon"]))
+        other = F.element_at(F.filter(options, lambda o: d["u"] < o["to"]), 1)["codon"]
+        return F.when(d["chance"] < noise, other).otherwise(seq.by_codon(same, d["codon"]))
 
-    return F.concat(F.array_join(F.transform(seq.codons(body), pick), ""), F.lit(seq.STOP_CODON))
+    return F.concat(F.array_join(F.transform(drawn, pick), ""), F.lit(seq.STOP_CODON))
 
 
 def identity_violations(designs: DataFrame, dna: str, protein: str) -> DataFrame:

@@ -19,10 +19,15 @@ def cai(dna: Column, weight: dict[str, float]) -> Column:
     Null for sequences that don't end at a codon's end.
     """
     logs = {c: math.log(w if w > 0 else 0.01) for c, w in weight.items() if seq.CODE[c] not in _UNSCORED}
-    known = seq.literal_map(logs)
-    scored = F.filter(F.transform(seq.codons(dna), lambda c: F.try_element_at(known, c)), lambda x: x.isNotNull())
-    total = F.aggregate(scored, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(F.size(scored) > 0, F.exp(total / F.size(scored))).otherwise(1.0)
+    # one pass: the sum of the logs and their number
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    scored = F.transform(seq.codons(dna), lambda c: seq.by_codon(logs, c))
+    mean = F.aggregate(
+        scored,
+        start,
+        lambda a, x: F.when(x.isNull(), a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n"))),
+        lambda a: F.when(a["n"] > 0, F.exp(a["sum"] / a["n"])).otherwise(1.0),
+    )
     return F.when(F.length(dna) % 3 == 0, mean)
 
 
@@ -51,8 +56,6 @@ def effective_codons(sequences: DataFrame, key: str, dna: str) -> DataFrame:
 
 def compared_codons(pairs: DataFrame, key: str, one: str, other: str, weight: dict[str, float]) -> DataFrame:
     """One row per codon position of two sequences: position (1-based), both codons, their w_i, whether changed."""
-    w = seq.literal_map(weight)
-    code = seq.literal_map(seq.CODE)
     both = pairs.where(F.col(one).isNotNull() & F.col(other).isNotNull())
     zipped = F.arrays_zip(seq.codons(F.col(one)).alias("a"), seq.codons(F.col(other)).alias("b"))
     rows = both.select(key, F.posexplode(zipped).alias("at", "c")).where("c.a is not null and c.b is not null")
@@ -60,11 +63,11 @@ def compared_codons(pairs: DataFrame, key: str, one: str, other: str, weight: di
     return rows.select(
         key,
         (F.col("at") + 1).alias("position"),
-        F.try_element_at(code, a).alias("amino_acid"),
+        seq.by_codon(seq.CODE, a).alias("amino_acid"),
         a.alias("original_codon"),
-        F.try_element_at(w, a).alias("original_w_i"),
+        seq.by_codon(weight, a).alias("original_w_i"),
         b.alias("optimized_codon"),
-        F.try_element_at(w, b).alias("optimized_w_i"),
+        seq.by_codon(weight, b).alias("optimized_w_i"),
         (a != b).alias("changed"),
     )
 

@@ -84,7 +84,6 @@ def repaired(
     synonyms = seq.literal_map_of_arrays(
         {c: [s for s in seq.FAMILIES[a] if s != c] for c, a in seq.CODE.items() if a != "*"}
     )
-    w = seq.literal_map(weight)
     state = keep(sequences.select(key, F.upper(F.col(dna)).alias("dna"), F.lit(0).alias("rounds")), "repair")
     for _ in range(rounds):
         hit = state.where(F.col("dna").rlike(either))
@@ -96,7 +95,7 @@ def repaired(
         options = at.select("*", F.explode(F.try_element_at(synonyms, F.col("codon"))).alias("other"))
         new = seq.replace_codon(F.col("dna"), F.col("i"), F.col("other"))
         around = F.substring("new", F.greatest(F.lit(1), F.col("start") + 1 - MARGIN), F.col("size") + 2 * MARGIN)
-        tried = options.withColumn("new", new).withColumn("w", F.try_element_at(w, F.col("other")))
+        tried = options.withColumn("new", new).withColumn("w", seq.by_codon(weight, F.col("other")))
         good = tried.where(~around.rlike(either))
         best = Window.partitionBy(key).orderBy(F.col("w").desc(), "i", "other")
         chosen = good.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(key, "new")

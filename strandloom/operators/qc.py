@@ -22,19 +22,33 @@ class Limits:
     loop: int = 3
 
 
-def window_gc(dna: Column, width: int) -> Column:
-    """The GC share of every window of ``width`` bases, as an array; of the whole sequence if it is shorter."""
-    u = F.upper(dna)
+def gc_marks(dna: Column) -> Column:
+    """The sequence with 1 for G and C, and 0 for any other letter."""
+    return F.regexp_replace(F.regexp_replace(F.upper(dna), "[GC]", "1"), "[^1]", "0")
+
+
+def window_gc(marks: Column, width: int) -> Column:
+    """The GC share of every window of ``width`` marks, as an array; of the whole sequence if it is shorter.
+
+    ``marks`` should be a column, not an expression, so that it is computed once and not once per window.
+    """
     windows = F.transform(
-        F.sequence(F.lit(1), F.length(u) - (width - 1)), lambda i: seq.gc_count(F.substring(u, i, F.lit(width))) / width
+        F.sequence(F.lit(1), F.length(marks) - (width - 1)),
+        lambda i: F.length(F.replace(F.substring(marks, i, F.lit(width)), F.lit("0"), F.lit(""))) / width,
     )
-    return F.when(F.length(u) >= width, windows).otherwise(F.array(seq.gc_content(u)))
+    return F.when(F.length(marks) >= width, windows).otherwise(F.array(_share(marks)))
+
+
+def _share(marks: Column) -> Column:
+    ones = F.length(F.replace(marks, F.lit("0"), F.lit("")))
+    return F.when(F.length(marks) > 0, ones / F.length(marks)).otherwise(0.0)
 
 
 def gc_extremes(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
     """key, overall_gc, min_gc, max_gc, gc_ok."""
-    shares = sequences.where(F.col(dna).isNotNull()).select(
-        key, seq.gc_content(F.col(dna)).alias("overall_gc"), window_gc(F.col(dna), limits.gc_window).alias("w")
+    marked = sequences.where(F.col(dna).isNotNull()).select(key, gc_marks(F.col(dna)).alias("marks"))
+    shares = marked.select(
+        key, _share(F.col("marks")).alias("overall_gc"), window_gc(F.col("marks"), limits.gc_window).alias("w")
     )
     low, high = limits.gc_range
     return shares.select(
@@ -49,11 +63,16 @@ def gc_extremes(sequences: DataFrame, key: str, dna: str, limits: Limits = Limit
 def gc_regions(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
     """key, region_start, region_end, direction, gc: windows far from the overall share, merged where they overlap."""
     width = limits.gc_window
-    long = sequences.where(F.length(dna) >= width).select(
-        key, seq.gc_content(F.col(dna)).alias("overall"), F.posexplode(window_gc(F.col(dna), width)).alias("at", "gc")
-    )
-    far = long.where(F.abs(F.col("gc") - F.col("overall")) > limits.gc_deviation).withColumn(
-        "direction", F.when(F.col("gc") > F.col("overall"), "high").otherwise("low")
+    marked = sequences.where(F.length(dna) >= width).select(key, gc_marks(F.col(dna)).alias("marks"))
+    shares = marked.select(key, _share(F.col("marks")).alias("overall"), window_gc(F.col("marks"), width).alias("w"))
+    placed = F.transform("w", lambda g, i: F.struct(i.alias("at"), g.alias("gc")))
+    off = F.filter(placed, lambda x: F.abs(x["gc"] - F.col("overall")) > limits.gc_deviation)
+    # only the windows that are far off leave their sequence's row
+    far = shares.select(key, "overall", F.explode(off).alias("x")).select(
+        key,
+        "x.at",
+        "x.gc",
+        F.when(F.col("x.gc") > F.col("overall"), "high").otherwise("low").alias("direction"),
     )
     by_seq = Window.partitionBy(key).orderBy("at")
     new = (
@@ -88,9 +107,9 @@ def homopolymers(sequences: DataFrame, key: str, dna: str, limits: Limits = Limi
 def repeats(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
     """key, kmer, first_at, second_at, copies: k-mers that occur more than once in a sequence."""
     k = limits.repeat_length
-    u = F.upper(F.col(dna))
-    kmers = F.transform(F.sequence(F.lit(0), F.length(u) - k), lambda i: F.substring(u, i + 1, F.lit(k)))
-    places = sequences.where(F.length(u) >= 2 * k).select(key, F.posexplode(kmers).alias("at", "kmer"))
+    upper = sequences.where(F.length(dna) >= 2 * k).select(key, F.upper(F.col(dna)).alias("u"))
+    kmers = F.transform(F.sequence(F.lit(0), F.length("u") - k), lambda i: F.substring(F.col("u"), i + 1, F.lit(k)))
+    places = upper.select(key, F.posexplode(kmers).alias("at", "kmer"))
     # min and second smallest by partial aggregates: no list of positions is collected
     first = places.groupBy(key, "kmer").agg(F.min("at").alias("first_at"), F.count("*").alias("copies"))
     several = first.where("copies > 1")
@@ -104,9 +123,11 @@ def stems(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -
     A structure measure by sequence alone; it is no folding energy.
     """
     k = limits.stem
-    head = F.upper(F.substring(dna, 1, limits.five_prime))
-    kmers = F.transform(F.sequence(F.lit(0), F.length(head) - k), lambda i: F.substring(head, i + 1, F.lit(k)))
-    places = sequences.where(F.length(head) >= 2 * k + limits.loop).select(key, F.posexplode(kmers).alias("at", "arm"))
+    heads = sequences.select(key, F.upper(F.substring(dna, 1, limits.five_prime)).alias("head"))
+    at = F.sequence(F.lit(0), F.length("head") - k)
+    kmers = F.transform(at, lambda i: F.substring(F.col("head"), i + 1, F.lit(k)))
+    long = heads.where(F.length("head") >= 2 * k + limits.loop)
+    places = long.select(key, F.posexplode(kmers).alias("at", "arm"))
     partners = places.select(key, F.col("at").alias("partner_start"), seq.reverse_complement(F.col("arm")).alias("arm"))
     pairs = places.join(partners, [key, "arm"]).where(F.col("partner_start") >= F.col("at") + k + limits.loop)
     return pairs.select(key, F.col("at").alias("arm_start"), "partner_start", "arm")
