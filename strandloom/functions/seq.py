@@ -75,6 +75,11 @@ def inner_stop(protein: Column) -> Column:
     return F.instr(protein, "*").between(1, F.length(protein) - 1)
 
 
+def stops_early(dna: Column) -> Column:
+    """Whether a stop codon comes before the last codon of an upper-case sequence, without translating it."""
+    return dna.rlike("^(?:[A-Z]{3})*?(?:TAA|TAG|TGA)[A-Z]{3}")
+
+
 def first_codon(start: Column) -> Column:
     """The codon of a base position (0-based)."""
     return F.floor(start / 3).cast("int")

@@ -19,7 +19,7 @@ def cds_reason() -> Column:
         F.when(F.coalesce(F.trim("locus_tag"), F.lit("")) == "", "no_locus_tag")
         .when(F.coalesce(F.length(dna), F.lit(0)) == 0, "no_sequence")
         .when(F.length(dna) % 3 != 0, "partial_codon")
-        .when(seq.inner_stop(seq.translate(dna)), "inner_stop")
+        .when(seq.stops_early(dna), "inner_stop")
     )
 
 
