@@ -34,17 +34,17 @@ def cai(dna: Column, weight: dict[str, float]) -> Column:
 def effective_codons(sequences: DataFrame, key: str, dna: str) -> DataFrame:
     """key, nc: the effective number of codons, from the homozygosity of each family of synonyms."""
     code = [(c, a, len(seq.FAMILIES[a])) for c, a in seq.CODE.items() if a != "*" and len(seq.FAMILIES[a]) > 1]
-    families = sequences.sparkSession.createDataFrame(code, "codon string, amino_acid string, k int")
+    families = sequences.sparkSession.createDataFrame(code, "codon string, amino_acid string, synonyms int")
     found = sequences.select(key, F.explode(seq.codons(F.col(dna))).alias("codon")).join(F.broadcast(families), "codon")
-    per_codon = found.groupBy(key, "amino_acid", "k", "codon").agg(F.count("*").alias("n"))
-    per_family = per_codon.groupBy(key, "amino_acid", "k").agg(
+    per_codon = found.groupBy(key, "amino_acid", "synonyms", "codon").agg(F.count("*").alias("n"))
+    per_family = per_codon.groupBy(key, "amino_acid", "synonyms").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")
     )
     share = F.col("squares") / (F.col("n") * F.col("n"))
-    raw = (F.col("k") * share - 1) / (F.col("k") - 1)
-    homozygosity = F.when(F.col("n") <= 1, 1.0).otherwise(F.greatest(raw, 1 / F.col("k")))
+    raw = (F.col("synonyms") * share - 1) / (F.col("synonyms") - 1)
+    homozygosity = F.when(F.col("n") <= 1, 1.0).otherwise(F.greatest(raw, 1 / F.col("synonyms")))
     by_size = per_family.withColumn("f", homozygosity).groupBy(key).agg(
-        *[F.avg(F.when(F.col("k") == k, F.col("f"))).alias(f"f{k}") for k in (2, 3, 4, 6)]
+        *[F.avg(F.when(F.col("synonyms") == k, F.col("f"))).alias(f"f{k}") for k in (2, 3, 4, 6)]
     )
     f3 = F.coalesce("f3", (F.col("f2") + F.col("f4")) / 2)
     terms = [F.lit(9) / F.col("f2"), F.lit(1) / f3, F.lit(5) / F.col("f4"), F.lit(3) / F.col("f6")]
