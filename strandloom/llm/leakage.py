@@ -157,10 +157,11 @@ def _candidates(pages: DataFrame, texts: list[str], weight: np.ndarray) -> DataF
             orders = [reading_orders(*x) for x in zip(b["text"], b["left"], b["right"])]
             pairs = find([["\n".join(x) for x in page] for page in orders])
             rows, first = np.unique(pairs[:, 0], return_index=True)
-            hit = b.iloc[rows][["id"]].reset_index(drop=True)
-            hit["orders"] = [orders[r] for r in rows]
-            hit["passages"] = [x.tolist() for x in np.split(pairs[:, 1], first[1:])] if len(rows) else []
-            yield hit
+            if len(rows):
+                hit = b.iloc[rows][["id"]].reset_index(drop=True)
+                hit["orders"] = pd.Series([orders[r] for r in rows], dtype=object)
+                hit["passages"] = pd.Series([x.tolist() for x in np.split(pairs[:, 1], first[1:])], dtype=object)
+                yield hit
 
     shape = T.StructType([pages.schema["id"], T.StructField("orders", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("passages", T.ArrayType(T.LongType()))])
     return pages.mapInPandas(search, shape)
@@ -192,7 +193,8 @@ def _measured(candidates: DataFrame, texts: list[str], min_words: int) -> DataFr
                     ids.append(i)
                     numbers.append(p)
                     words.append(_best_run(passages[p], orders, min_words))
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "passage": numbers, "words": words})
+            if ids:
+                yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "passage": numbers, "words": words})
 
     shape = T.StructType(
         [candidates.schema["id"], T.StructField("passage", T.LongType()), T.StructField("words", T.LongType())]

@@ -11,7 +11,7 @@ import numpy as np
 from strandloom.llm.letters import EXPLAINED, FOLD, SIZE, plain, trigrams
 
 #: Foreign lines that may stand between two lines of a run, and letters by which rough placements may be off.
-MOST_BETWEEN, SLACK = 14, 6
+MOST_BETWEEN, SLACK, MARGIN = 14, 6, 40
 #: A line within a run has at least this share of its shingles where it is laid; a run's first and last may have less.
 AGREES = 0.55
 #: Lines of fewer letters are only looked for where they fill the gap between two others.
@@ -143,12 +143,7 @@ def longest_run(passage: Passage, lines: Lines) -> int:
     if passage.least is None:
         return 0
     placed = _rough_runs(*_placements(passage, lines), passage.least)
-    n = len(passage.letters)
-    pieces = [
-        f
-        for line, lo, hi in placed
-        for f in _fragments(passage.letters, max(0, lo - 3), min(n, hi + 4), lines.text[line], line)
-    ]
+    pieces = [f for place in placed for f in _laid(passage.letters, place, lines.text[place[0]])]
     pieces.sort(key=lambda f: (f.line, f.lo))
     best = 0
     for i, f in enumerate(pieces):
@@ -164,6 +159,17 @@ def longest_run(passage: Passage, lines: Lines) -> int:
     return best
 
 
+def _laid(letters: str, place: tuple[int, int, int, int], line: str) -> list[_Fragment]:
+    """The fragments of a line where it was laid; of a very long line only the part by the passage is compared."""
+    number, lo, hi, at = place
+    first, last = max(0, at - MARGIN), min(len(line), at + hi - lo + MARGIN)
+    found = _fragments(letters, max(0, lo - 3), min(len(letters), hi + 4), line[first:last], number)
+    for f in found:
+        f.from_start &= first == 0
+        f.to_end &= last == len(line)
+    return found
+
+
 def _follows(letters: str, p: _Fragment, f: _Fragment, lines: list[str]) -> bool:
     gap = f.lo - p.hi
     if -1 <= gap <= 1:
@@ -200,8 +206,8 @@ class Lines:
         self.inside = np.arange(len(self.own)) - self.starts[self.line] <= self.sizes[self.line] - 3
 
 
-def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """(line, from, to): the parts of the passage that lines agree with, up to three a line.
+def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """(line, from, to, at): the parts of the passage that lines agree with, up to three a line, and where in the line.
 
     With each comes how many letters agree at most, or -1 where (almost) all do.
     """
@@ -236,7 +242,7 @@ def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, in
     enough = (near >= 8) | (near >= np.maximum(np.where(full < 6, 2, 3), 0.35 * (hi - lo - 2)))
     keep = np.flatnonzero(enough & (hi > lo))
     keep = keep[np.lexsort((-votes[keep], -near[keep], whose[keep]))]
-    placed: list[tuple[int, int, int]] = []
+    placed: list[tuple[int, int, int, int, int]] = []
     taken: list[int] = []
     current, settled = -1, False
     # a line that agrees well somewhere is only laid where it agrees well
@@ -247,27 +253,27 @@ def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, in
             current, taken, settled = i, [], well
         if len(taken) < 3 and well >= settled and all(abs(o - t) > 2 for t in taken):
             taken.append(o)
-            placed.append((int(lines.numbers[i]), a, b, -1 if well else v + 2 + SLACK))
+            placed.append((int(lines.numbers[i]), a, b, max(0, -o), -1 if well else v + 2 + SLACK))
     placed.sort()
-    return [p[:3] for p in placed], [p[3] for p in placed]
+    return [p[:4] for p in placed], [p[4] for p in placed]
 
 
 def _rough_runs(
-    placed: list[tuple[int, int, int]], agreed: list[int], least: int
-) -> list[tuple[int, int, int]]:
+    placed: list[tuple[int, int, int, int]], agreed: list[int], least: int
+) -> list[tuple[int, int, int, int]]:
     """The placements that lie on some sequence of lines long enough for a run.
 
     Lines within a sequence agree well; of its first and last line only the
     letters that agree count.
     """
     n = len(placed)
-    first = [lo if a < 0 else max(lo, hi - a) for (_, lo, hi), a in zip(placed, agreed)]
-    last = [hi if a < 0 else min(hi, lo + a) for (_, lo, hi), a in zip(placed, agreed)]
+    first = [lo if a < 0 else max(lo, hi - a) for (_, lo, hi, _), a in zip(placed, agreed)]
+    last = [hi if a < 0 else min(hi, lo + a) for (_, lo, hi, _), a in zip(placed, agreed)]
     before, after = list(first), list(last)  # how far the best sequences to and from each line reach
     back: list[list[int]] = [[] for _ in range(n)]
-    for i, (line, lo, _) in enumerate(placed):
+    for i, (line, lo, _, _) in enumerate(placed):
         for j in range(i - 1, -1, -1):
-            other, _, hi = placed[j]
+            other, _, hi, _ = placed[j]
             if line - other > MOST_BETWEEN + 1:
                 break
             if other < line and -SLACK <= lo - hi <= SHORT + SLACK:
