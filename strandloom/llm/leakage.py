@@ -26,36 +26,41 @@ MIN_WORDS, MIN_SIMILARITY = 20, 0.5
 #: Letters in a window, and letters of the passage that a candidate's similar windows cover in one stretch, or in
 #: all: a run of MIN_WORDS words has about a hundred.
 LETTERS, MIN_COVERED, MIN_SCATTERED = fp.WINDOW + 2, 44, 80
-#: Columns that a page may have, and the space between two (in the boxes' pixels).
-MOST_COLUMNS, GUTTER = 8, 36
+#: The narrowest column, and how far apart the left edges of a column's lines may lie (in the boxes' pixels).
+NARROWEST, JITTER = 150, 25
 #: Passages indexed (and sent to the executors) at a time; more take further passes over the corpus.
 PASSAGES_AT_ONCE = 2_000
 #: A longer item is cut into overlapping passages, so that what is sent stays bounded.
 _CHUNK, _SEGMENT = 1_500_000, 1 << 20
 
 
-def column_order(left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+def column_order(left: np.ndarray) -> np.ndarray | None:
     """The order of a page's lines column by column; None if they stand so already, or in one column.
 
-    The most columns of equal width that (almost) no line crosses are taken.
+    Columns begin where many lines do: left edges that lie close together are
+    one edge, and edges with a twentieth of the lines, NARROWEST apart, are columns.
     """
-    if len(left) < 3:
+    if len(left) < 3 or not (np.diff(left) < -NARROWEST).any():
         return None
-    first, last = left.min(), right.max()
-    for n in range(MOST_COLUMNS, 1, -1):
-        pitch = (last - first + GUTTER) / n
-        column = ((left - first + GUTTER // 4) / pitch).astype(np.int64)
-        if (column == ((right - first - GUTTER // 4) / pitch).astype(np.int64)).mean() >= 0.97:
-            return None if (np.diff(column) >= 0).all() else np.argsort(column, kind="stable")
-    return None
+    edges = np.sort(left)
+    first = np.flatnonzero(np.diff(edges, prepend=edges[0] - 2 * JITTER) > JITTER)
+    lines = np.diff(np.append(first, len(edges)))
+    begins: list[int] = []
+    for edge, n in zip(edges[first].tolist(), lines.tolist()):
+        if n >= max(3, len(left) / 20) and (not begins or edge - begins[-1] >= NARROWEST):
+            begins.append(edge)
+    if len(begins) < 2:
+        return None
+    column = np.searchsorted(np.array(begins) - JITTER, left, side="right")
+    return None if (np.diff(column) >= 0).all() else np.argsort(column, kind="stable")
 
 
-def reading_orders(text: str, left, right) -> list[list[str]]:
+def reading_orders(text: str, left) -> list[list[str]]:
     """A page's lines as they come, and column by column where that differs."""
     lines = text.split("\n")
-    if left is None or right is None or len(left) != len(lines) or len(right) != len(lines):
+    if left is None or len(left) != len(lines):
         return [lines]
-    order = column_order(np.asarray(left, dtype=np.int64), np.asarray(right, dtype=np.int64))
+    order = column_order(np.asarray(left, dtype=np.int64))
     return [lines] if order is None else [lines, [lines[i] for i in order]]
 
 
@@ -154,7 +159,7 @@ def _candidates(pages: DataFrame, texts: list[str], weight: np.ndarray) -> DataF
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = _find(*sent.value)
         for b in batches:
-            orders = [reading_orders(*x) for x in zip(b["text"], b["left"], b["right"])]
+            orders = [reading_orders(*x) for x in zip(b["text"], b["left"])]
             pairs = find([["\n".join(x) for x in page] for page in orders])
             rows, first = np.unique(pairs[:, 0], return_index=True)
             if len(rows):
@@ -218,7 +223,7 @@ def leaked_items(
 
     Letter case, punctuation, spacing and known misreadings of letters don't
     interrupt a run, nor do whole foreign lines; other words do. ``boxes`` names
-    an array of structs with x0 and x1, one for each line of the text: where
+    an array of structs with x0, one for each line of the text: where
     lines of several columns alternate, they are also read column by column;
     arrays of another length than the text has lines are ignored. All items with the same passage are reported. Null and empty
     texts hold nothing, and items of fewer than ``min_words`` words are never
@@ -226,10 +231,8 @@ def leaked_items(
     with a null key are searched, too. Empty tables give an empty result.
     """
     none = F.lit(None).cast("array<int>")
-    left, right = (F.col(f"{boxes}.{x}") if boxes else none for x in ("x0", "x1"))
-    pages = documents.select(
-        F.col(key).alias("id"), F.col(text).alias("text"), left.alias("left"), right.alias("right")
-    )
+    left = F.col(f"{boxes}.x0") if boxes else none
+    pages = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), left.alias("left"))
     pages = pages.where("text is not null and text <> ''")
     tests = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("passage")).where("passage is not null")
     tests = keep(tests.distinct(), "tests")
