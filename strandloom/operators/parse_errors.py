@@ -47,8 +47,8 @@ def trimmed(value: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """The text of a number without surrounding blanks and thousands commas."""
-    return F.regexp_replace(trimmed(value), ",", "")
+    """The text of a number without thousands commas and surrounding blanks."""
+    return trimmed(F.regexp_replace(value, ",", ""))
 
 
 def _quoting_holds(parts: Column, sep: Column) -> Column:

@@ -31,7 +31,7 @@ CASES = [
     ("T1, 1 ,2.,.5,1e-3", None), ("T1,-1,2,3,4", "value"), ("T1,+1,2,3,4", "value"), ("T1,1.2.3,2,3,4", "value"),
     ("T1,NaN,2,3,4", "value"), ("T1,1d,2,3,4", "value"), ("T1,.,2,3,4", "value"), ("T1,1e,2,3,4", "value"),
     ("T1,1,2,3,4\r", None), ("T1,1,2,3,", "value"), ("", "column_count"), (None, "column_count"), ('""""', "column_count"),
-    ('"T1",1,2,3,"4"', None), ('"T1",1,2,"3"",4', "quoting"),
+    ('"T1",1,2,3,"4"', None), ('T1,", 1",2,3,"4 ,"', None), ('T1," 1 2",2,3,4', "value"), ('"T1",1,2,"3"",4', "quoting"),
 ]
 
 
