@@ -30,7 +30,9 @@ LETTERS, MIN_COVERED, MIN_SCATTERED = fp.WINDOW + 2, 44, 80
 NARROWEST, JITTER = 150, 25
 #: Passages indexed (and sent to the executors) at a time; more take further passes over the corpus.
 PASSAGES_AT_ONCE = 2_000
-#: A longer item is cut into overlapping passages, so that what is sent stays bounded.
+#: Letters of the passages indexed at a time; a longer passage is indexed alone.
+LETTERS_AT_ONCE = 4_000_000
+#: Characters of pages, and shingles, that a worker handles at a time.
 _CHUNK, _SEGMENT = 1_500_000, 1 << 20
 
 
@@ -243,7 +245,9 @@ def leaked_items(
     last = None
     while True:
         rest = distinct if last is None else distinct.where(F.col("passage") > F.lit(last))
-        block = [r["passage"] for r in rest.limit(at_once).collect()]
+        sizes = [r["n"] for r in rest.select(F.length("passage").alias("n"), "passage").limit(at_once).select("n").collect()]
+        n_fit = max(1, int(np.searchsorted(np.cumsum(sizes), LETTERS_AT_ONCE, side="right"))) if sizes else 0
+        block = [r["passage"] for r in rest.limit(n_fit).collect()]
         if not block and found is not None:
             break
         near = keep(_candidates(pages, block, weight), "candidates")
@@ -253,7 +257,7 @@ def leaked_items(
         named = measured.join(numbers, "passage").join(tests.withColumnRenamed("passage", "text"), "text")
         part = named.select(F.col("id").alias(key), F.col("item").alias(item_key), "words")
         found = part if found is None else found.unionByName(part)
-        if len(block) < at_once:
+        if n_fit == len(sizes) < at_once:
             break
         last = block[-1]
     return found.groupBy(key, item_key).agg(F.max("words").alias("words"))

@@ -31,7 +31,7 @@ CLASSES = (
 #: Readings of a letter (left) that differ in it, as seen in scans.
 MISREADINGS = (
     "e:o c f", "o:c 0 e q", "a:n o", "d:cl", "h:li b", "t:f l i", "n:ri u", "r:v i", "i:l ! 1 j t", "s:f a 5 8",
-    "w:vv", "l:i 1", "f:t s", "u:ii n", "k:lc", "g:9 q", "y:v", "b:6 8 h", "c:o e", "v:y", "m:in nn rn ni iii",
+    "w:vv", "l:i 1", "f:t s", "u:ii n", "k:lc", "g:9 q", "y:v", "b:6 8 h r", "c:o e g", "v:y", "m:in nn rn ni iii",
     "0:o", "1:l i", "5:s", "8:s b", "6:b", "9:g", "ß:b ss 8", "ü:u ii", "ö:o 0", "ä:a n o", "é:e c o", "è:e c o",
     "à:a n o", "ê:e c o", "ç:c e o", "ô:o c 0", "î:i l", "û:u n ii",
 )
