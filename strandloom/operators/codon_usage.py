@@ -32,6 +32,10 @@ def valid_cds(cds: DataFrame) -> DataFrame:
     """The first valid row of each locus_tag, by added_at, then sequence."""
     good = checked_cds(cds).where("reason is null").drop("reason").withColumn("locus_tag", F.trim("locus_tag"))
     first = Window.partitionBy("locus_tag").orderBy("added_at", "nucleotide_seq", "location", "product")
+    # The shuffle that the window needs, by a set number of partitions: adaptive execution doesn't merge these, and what
+    # is done with sequences afterwards is heavy for its bytes.
+    partitions = int(cds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = good.repartition(partitions, "locus_tag")
     return good.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
