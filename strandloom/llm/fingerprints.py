@@ -6,7 +6,7 @@ import numpy as np
 
 from strandloom.llm.letters import SIZE
 
-WINDOW, STEP = 32, 8  # trigrams in a window, and between the starts of a page's windows
+WINDOW, STEP = 16, 4  # trigrams in a window, and between the starts of a page's windows
 BITS, BLOCKS = 64, 4  # fingerprints within BLOCKS - 1 bits agree in at least one block
 RADIUS = BLOCKS - 1
 TOP_WEIGHT = 7  # a lane of the packed sums holds WINDOW * TOP_WEIGHT in 8 bits
@@ -78,8 +78,9 @@ class MultiIndex:
                 close = np.bitwise_count(part[who] ^ self.prints[other]) <= RADIUS
                 mine.append(who[close] + at)
                 theirs.append(other[close])
-        pairs = np.unique(np.stack([np.concatenate(mine), np.concatenate(theirs)]), axis=1)
-        return pairs[0], pairs[1]
+        size = max(len(self.prints), 1)
+        pairs = np.unique(np.concatenate(mine) * size + np.concatenate(theirs))
+        return pairs // size, pairs % size
 
 
 def weighted_overlap(one: np.ndarray, other: np.ndarray, weight: np.ndarray) -> np.ndarray:

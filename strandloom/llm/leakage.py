@@ -23,9 +23,9 @@ from strandloom.workspace import keep
 
 #: Words in a row that make a leak, and the least weighted similarity of a page's window to a passage's.
 MIN_WORDS, MIN_SIMILARITY = 20, 0.5
-#: Letters in a window, and letters of the passage that a candidate's similar windows cover in one stretch, or in
-#: all: a run of MIN_WORDS words has about a hundred.
-LETTERS, MIN_COVERED, MIN_SCATTERED = fp.WINDOW + 2, 44, 80
+#: Letters in a window, and letters that a candidate's similar windows cover of some SPAN letters of the passage: the
+#: shortest runs of MIN_WORDS words have 66 letters, most about a hundred.
+LETTERS, MIN_COVERED, SPAN = fp.WINDOW + 2, 36, 180
 #: The narrowest column, and how far apart the left edges of a column's lines may lie (in the boxes' pixels).
 NARROWEST, JITTER = 150, 25
 #: Passages indexed (and sent to the executors) at a time; more take further passes over the corpus.
@@ -108,14 +108,14 @@ def _covering(hits: np.ndarray) -> np.ndarray:
     if not len(hits):
         return hits[:, :2]
     new = np.concatenate(([True], (hits[1:, :2] != hits[:-1, :2]).any(axis=1)))
-    ahead = np.diff(hits[:, 2], prepend=0)
-    step = np.where(new, LETTERS, np.minimum(ahead, LETTERS))
-    apart = new | (ahead >= LETTERS)  # a new stretch of overlapping windows
-    stretch = np.flatnonzero(apart)
-    longest = np.maximum.reduceat(np.add.reduceat(step, stretch), np.flatnonzero(new[stretch]))
+    pair = np.cumsum(new) - 1
+    step = np.where(new, LETTERS, np.minimum(np.diff(hits[:, 2], prepend=0), LETTERS))
+    total = np.cumsum(step)
+    place = pair * (hits[:, 2].max() + SPAN + 1) + hits[:, 2]
+    last = np.searchsorted(place, place + SPAN - LETTERS, side="right") - 1  # the span's last window
+    covered = total[last] - total + LETTERS
     first = np.flatnonzero(new)
-    total = np.add.reduceat(step, first)
-    return hits[first[(longest >= MIN_COVERED) | (total >= MIN_SCATTERED)], :2]
+    return hits[first[np.maximum.reduceat(covered, first) >= MIN_COVERED], :2]
 
 
 def _find(texts: list[str], weight: np.ndarray):

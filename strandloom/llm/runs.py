@@ -229,11 +229,10 @@ def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, in
     ballots, votes = np.unique(whose * width + at - (who - lines.starts[whose]) + longest, return_counts=True)
     near = votes.copy()  # votes within two letters belong together: misread letters shift what follows
     for d in (1, 2):
-        j = np.searchsorted(ballots, ballots + d)
-        ok = np.flatnonzero(j < len(ballots))
-        ok = ok[ballots[j[ok]] == ballots[ok] + d]
-        near[ok] += votes[j[ok]]
-        near[j[ok]] += votes[ok]
+        for ahead in range(1, d + 1):  # ballots are sorted and distinct
+            ok = np.flatnonzero(ballots[ahead:] - ballots[:-ahead] == d)
+            near[ok] += votes[ok + ahead]
+            near[ok + ahead] += votes[ok]
     whose = ballots // width
     offset = ballots % width - longest
     lo = np.maximum(0, offset)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from strandloom.llm import fingerprints as fp
+from strandloom.llm import leakage
 from strandloom.llm.leakage import column_order, leaked_items
 from strandloom.llm.letters import MISREADINGS, SIZE, plain
 from strandloom.llm.runs import Lines, Passage, longest_run
@@ -121,3 +122,22 @@ def test_pages(spark):
     assert set(got) == {(1, 0), (1, 99), (2, 1), (3, 2)} and got[2, 1] >= 28
     assert found(spark, rows, items, at_once=3).keys() == got.keys()
     assert found(spark, rows, []) == {} and found(spark, [], items) == {}
+
+
+def test_short_runs_with_misread_letters_and_foreign_lines_are_candidates():
+    rng = random.Random(12)
+    texts = [prose(rng, 80) for _ in range(20)]
+    made = []
+    for text in texts:
+        words = text.split()
+        start = min(range(60), key=lambda i: len("".join(words[i : i + 20])))
+        short = [w[:4] for w in words[start : start + 20]]  # about 80 letters
+        made.append((" ".join(words[:30] + short + words[50:]), short))
+    find = leakage._find([t for t, _ in made], fp.weights(np.zeros(SIZE**3)))
+    pages = []
+    for _, short in made:
+        lines = [" ".join(short[i : i + 7]) for i in (0, 7, 14)]
+        lines[::2] = [f"{x[:5]}w{x[6:]}" for x in lines[::2]]  # a letter of another class
+        pages.append(["\n".join([lines[0], "zzz kkk", lines[1], "zzz kkk", lines[2]])])
+    got = set(map(tuple, find(pages).tolist()))
+    assert {(i, i) for i in range(20)} <= got
