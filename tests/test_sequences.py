@@ -74,6 +74,17 @@ def test_motifs_found_and_repaired(spark):
     assert sum(r["has_hits"] for r in fixed.values()) < len({h[0] for h in hits})
 
 
+def test_all_hits_of_a_sequence_are_repaired(spark):
+    genes = ["ATG" + "GAATTCGCTGCTGCTGCTGCTGCTGCTGCT" * 9 + "TAA", "ATG" + "AAA" * 5 + "GCTGCT" * 5 + "GAATTCTAA",
+             "ATGGAATTCGAATTCGGATCCAAGCTTTAA", "ATG" + "AAA" * 10 + "TAA"]
+    df = spark.createDataFrame(list(enumerate(genes)), "k int, dna string")
+    fixed = {r["k"]: r for r in motifs.repaired(df, "k", "dna", {c: 1.0 for c in seq.CODE}).collect()}
+    assert len(fixed) == 4 and not any(r["has_hits"] for r in fixed.values()) and fixed[0]["rounds"] == 1
+    after = spark.createDataFrame([(k, r["dna"]) for k, r in fixed.items()], "k int, s string")
+    got = dict(after.select("k", seq.translate(F.col("s"))).collect())
+    assert got == dict(df.select("k", seq.translate(F.col("dna"))).collect())
+
+
 def test_design(spark):
     w = {c: 0.2 for c in seq.CODE} | {"CTG": 1.0, "AAA": 0.9}
     proteins = ["MLKLL*", "MKFLILVAS", "", None, "MXZ", "M*K"]
