@@ -86,6 +86,9 @@ class MultiIndex:
 def weighted_overlap(one: np.ndarray, other: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Exact weighted Jaccard similarity of the shingle sets in the rows of two equal-shaped arrays."""
 
+    if not len(one):
+        return np.empty(0)
+
     def distinct(rows: np.ndarray) -> np.ndarray:
         return ~(np.tril(rows[:, :, None] == rows[:, None, :], -1).any(axis=2))
 

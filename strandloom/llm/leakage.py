@@ -8,6 +8,7 @@ for the pages that remain the longest run of consecutive words is measured.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +18,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import fingerprints as fp
-from strandloom.llm.letters import SIZE, plain, stream, trigrams
+from strandloom.llm.letters import GRAM, NO_LETTER, SIZE, folded, grams, plain, stream, trigrams
 from strandloom.llm.runs import Lines, Passage, longest_run
 from strandloom.workspace import keep
 
 #: Words in a row that make a leak, and the least weighted similarity of a page's window to a passage's.
 MIN_WORDS, MIN_SIMILARITY = 20, 0.5
-#: Letters in a window, and letters that a candidate's similar windows cover of some SPAN letters of the passage: the
-#: shortest runs of MIN_WORDS words have 66 letters, most about a hundred.
-LETTERS, MIN_COVERED, SPAN = fp.WINDOW + 2, 36, 180
+#: Letters in a window; how far beyond its windows a stretch is drawn out; and the share of the letters of the
+#: passage's shortest run of MIN_WORDS words that stretches must cover, within as many letters of the passage.
+LETTERS, REACH, MIN_COVERED = fp.WINDOW + 2, 64, 0.5
+#: Before lines are compared, PRESENT of the letters of each word of a run must stand on the page within GRAM letters in a
+#: row; words of fewer than SURE letters are taken to stand there.
+PRESENT, SURE = 0.5, 6
 #: The narrowest column, and how far apart the left edges of a column's lines may lie (in the boxes' pixels).
 NARROWEST, JITTER = 150, 25
-#: Passages indexed (and sent to the executors) at a time; more take further passes over the corpus.
-PASSAGES_AT_ONCE = 2_000
-#: Letters of the passages indexed at a time; a longer passage is indexed alone.
-LETTERS_AT_ONCE = 4_000_000
+#: Passages indexed (and sent to the executors) at a time, and their letters (a longer passage is indexed alone);
+#: more passages take further passes over the corpus.
+PASSAGES_AT_ONCE, LETTERS_AT_ONCE = 4_000, 4_000_000
 #: Characters of pages, and shingles, that a worker handles at a time.
 _CHUNK, _SEGMENT = 1_500_000, 1 << 20
 
@@ -103,112 +106,188 @@ def shingle_counts(documents: DataFrame, text: str) -> np.ndarray:
     return counts
 
 
-def _covering(hits: np.ndarray) -> np.ndarray:
-    """(page, passage) of sorted hits (page, passage, start) that cover enough of the passage."""
-    if not len(hits):
-        return hits[:, :2]
-    new = np.concatenate(([True], (hits[1:, :2] != hits[:-1, :2]).any(axis=1)))
-    pair = np.cumsum(new) - 1
-    step = np.where(new, LETTERS, np.minimum(np.diff(hits[:, 2], prepend=0), LETTERS))
-    total = np.cumsum(step)
-    place = pair * (hits[:, 2].max() + SPAN + 1) + hits[:, 2]
-    last = np.searchsorted(place, place + SPAN - LETTERS, side="right") - 1  # the span's last window
-    covered = total[last] - total + LETTERS
-    first = np.flatnonzero(new)
-    return hits[first[np.maximum.reduceat(covered, first) >= MIN_COVERED], :2]
-
-
-def _find(texts: list[str], weight: np.ndarray):
-    """What a worker needs to find windows of these passages: a function from a batch to (row, passage) pairs."""
-    table = fp.lanes(weight)
-    shingles = [p.shingles for p in map(Passage, texts)]
-    prints, passage, start = [], [], []
-    for k, s in enumerate(shingles):
-        for o in range(fp.STEP):
-            found = fp.window_prints(s[o:], table, weight)
-            prints.append(found)
-            passage.append(np.full(len(found), k, dtype=np.int32))
-            start.append(np.arange(len(found), dtype=np.int32) * fp.STEP + o)
-    prints, passage, start = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (prints, passage, start))
-    index = fp.MultiIndex(prints.astype(np.uint64))
-    span = np.arange(fp.WINDOW)
-
-    def find(pages: list[list[str]]) -> np.ndarray:
-        hits = [np.empty((0, 3), dtype=np.int64)]
-        for letters, row, owner in _chunks(pages):
-            own = trigrams(letters)
-            for at in range(0, len(own), _SEGMENT):
-                seg = own[at : at + _SEGMENT + fp.WINDOW - fp.STEP]
-                mine, theirs = index.near(fp.window_prints(seg, table, weight))
-                first = at + mine * fp.STEP
-                one = owner[first] == owner[first + fp.WINDOW + 1]
-                first, theirs = first[one], theirs[one]
-                for i in range(0, len(first), 10_000):
-                    f, t = first[i : i + 10_000], theirs[i : i + 10_000]
-                    theirs_shingles = np.stack([shingles[passage[x]][start[x] : start[x] + fp.WINDOW] for x in t])
-                    alike = fp.weighted_overlap(own[f[:, None] + span], theirs_shingles, weight) >= MIN_SIMILARITY
-                    f, t = f[alike], t[alike]
-                    hits.append(np.stack([row[f], passage[t], start[t]], axis=1).astype(np.int64))
-        return _covering(np.unique(np.concatenate(hits), axis=0))
-
-    return find
-
-
-def _candidates(pages: DataFrame, texts: list[str], weight: np.ndarray) -> DataFrame:
-    """The pages with windows like a passage's: their columns and the passages' numbers."""
+class PassageIndex:
+    """The passages' windows in a multi-index, and the search for pages that hold enough of a passage."""
+
+    def __init__(self, texts: list[str], weight: np.ndarray, min_words: int):
+        self.weight, self.lanes, self.min_words = weight, fp.lanes(weight), min_words
+        self.passages = [Passage(t, min_words) for t in texts]
+        letters = [p.codes for p in self.passages]
+        self.starts = np.concatenate(([0], np.cumsum([len(x) for x in letters]))).astype(np.int64)
+        self.letters = np.concatenate([*letters, np.empty(0, np.uint8)])
+        self.owner = np.repeat(np.arange(len(letters)), np.diff(self.starts))
+        self.shingles = trigrams(self.letters)
+        self.least = np.array([p.least or 0 for p in self.passages], dtype=np.int64)
+        prints, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k, p in enumerate(self.passages):
+            for o in range(fp.STEP if p.least else 0):  # items too short for a run aren't searched for
+                found = fp.window_prints(trigrams(p.codes)[o:], self.lanes, weight)
+                prints.append(found)
+                at.append(self.starts[k] + o + np.arange(len(found)) * fp.STEP)
+        self.at = np.concatenate(at)
+        none = np.full(GRAM, SIZE**GRAM)  # stands on no page
+        self.grams = [np.concatenate((p.shingles, none)) for p in self.passages]
+        self.present = np.zeros(SIZE**GRAM + 1, dtype=bool)
+        self.index = fp.MultiIndex(np.concatenate(prints))
+
+    def find(self, pages: list[list[str]]) -> np.ndarray:
+        """(page, passage) pairs; a page is given as its letters in one or more orders."""
+        pairs = [np.empty((0, 2), dtype=np.int64)]
+        for letters, page, owner in _chunks(pages):
+            first, theirs = self._windows(trigrams(letters), owner)
+            pairs.append(self._covered(letters, page, owner, *_stretches(first, theirs, owner, self.owner)))
+        return np.unique(np.concatenate(pairs), axis=0)
+
+    def promising(self, orders: list[str], passages: list[int]) -> list[int]:
+        """The passages of which enough words in a row have shingles of GRAM letters anywhere on the page."""
+        codes = [grams(letters[letters != NO_LETTER]) for letters in map(folded, orders)]
+        for x in codes:
+            self.present[x] = True
+        bounds = np.cumsum([0, *(len(self.grams[k]) for k in passages)])
+        hit = self.present[np.concatenate([self.grams[k] for k in passages])]
+        for x in codes:
+            self.present[x] = False
+        read = np.zeros(len(hit), dtype=bool)
+        for d in range(GRAM):  # a shingle's letters; each passage ends with GRAM that belong to none
+            read[d:] |= hit[: len(hit) - d]
+        total = np.concatenate(([0], np.cumsum(read)))
+        ends = np.concatenate([self.passages[k].ends + b for k, b in zip(passages, bounds)])
+        sizes = np.diff(ends)
+        unread = (sizes >= SURE) & (total[ends[1:]] - total[ends[:-1]] < PRESENT * sizes)
+        # between two passages stands what counts as a word that can't be read
+        whose = np.cumsum([0, *(len(self.passages[k].ends) for k in passages)])
+        unread[whose[1:-1] - 1] = True
+        stops = np.concatenate(([-1], np.flatnonzero(unread), [len(sizes)]))
+        found = stops[:-1][np.diff(stops) - 1 >= self.min_words] + 1
+        return sorted({passages[i] for i in np.searchsorted(whose, found, side="right") - 1})
+
+    def _windows(self, own: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of a page's and a passage's windows that are close by fingerprint and similar by exact comparison."""
+        firsts, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        span = np.arange(fp.WINDOW)
+        for at in range(0, len(own), _SEGMENT):
+            seg = own[at : at + _SEGMENT + fp.WINDOW - fp.STEP]
+            mine, theirs = self.index.near(fp.window_prints(seg, self.lanes, self.weight))
+            first, other = at + mine * fp.STEP, self.at[theirs]
+            inside = owner[first] == owner[first + LETTERS - 1]
+            first, other = first[inside], other[inside]
+            for i in range(0, len(first), 20_000):
+                f, t = first[i : i + 20_000], other[i : i + 20_000]
+                a, b = own[f[:, None] + span], self.shingles[t[:, None] + span]
+                alike = (a == b).all(axis=1)  # most are, and equal windows need no comparison of sets
+                rest = np.flatnonzero(~alike)
+                alike[rest] = fp.weighted_overlap(a[rest], b[rest], self.weight) >= MIN_SIMILARITY
+                firsts.append(f[alike])
+                others.append(t[alike])
+        return np.concatenate(firsts), np.concatenate(others)
+
+    def _covered(self, letters, page, owner, first, last, theirs) -> np.ndarray:
+        """The pairs of which the stretches, as far as they can be drawn out, cover enough letters of a shortest run."""
+        if not len(first):
+            return np.empty((0, 2), dtype=np.int64)
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(owner))))
+        mine, passage = owner[first], self.owner[theirs]
+        stop = theirs + last - first
+        lo, hi = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        for i in range(0, len(first), 20_000):
+            s = slice(i, i + 20_000)
+            rooms = np.minimum(bounds[mine[s] + 1] - last[s], self.starts[passage[s] + 1] - stop[s])
+            hi[s] = stop[s] + _drawn_out(letters, self.letters, last[s], stop[s], rooms, 1)
+            rooms = np.minimum(first[s] - bounds[mine[s]], theirs[s] - self.starts[passage[s]])
+            lo[s] = theirs[s] - _drawn_out(letters, self.letters, first[s] - 1, theirs[s] - 1, rooms, -1)
+        # one row of marks per pair of page and passage: where the passage is covered
+        of = page[first].astype(np.int64) * len(self.passages) + passage
+        pair, which = np.unique(of, return_inverse=True)
+        wanted = MIN_COVERED * self.least
+        may = np.bincount(which, hi - lo) >= wanted[pair % len(self.passages)]  # even if no stretches overlapped
+        some = may[which]
+        pair, which = pair[may], (np.cumsum(may) - 1)[which[some]]
+        lo, hi, passage = lo[some], hi[some], passage[some]
+        if not len(pair):
+            return np.empty((0, 2), dtype=np.int64)
+        whose = pair % len(self.passages)
+        size = self.starts[whose + 1] - self.starts[whose]
+        begin = np.concatenate(([0], np.cumsum(size + 1)))
+        change = np.zeros(begin[-1] + 1, dtype=np.int32)
+        shift = begin[which] - self.starts[passage]
+        np.add.at(change, lo + shift, 1)
+        np.add.at(change, hi + shift, -1)
+        total = np.concatenate(([0], np.cumsum(np.cumsum(change[:-1]) > 0)))
+        run = np.repeat(self.least[whose], size + 1)
+        end = np.repeat(begin[1:] - 1, size + 1)
+        ahead = np.minimum(np.arange(begin[-1]) + run, end)
+        most = np.maximum.reduceat(total[ahead] - total[np.arange(begin[-1])], begin[:-1])
+        enough = pair[most >= wanted[whose]]
+        return np.stack([enough // len(self.passages), enough % len(self.passages)], axis=1)
+
+
+def _stretches(first, theirs, owner, whose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that follow each other at the same distance joined: first and last letter of the page, first of the passage."""
+    order = np.lexsort((first, first - theirs))
+    first, theirs = first[order], theirs[order]
+    if not len(first):
+        return first, first, theirs
+    before = slice(None, -1)
+    new = (first - theirs)[1:] != (first - theirs)[before]
+    new |= np.diff(first) > LETTERS
+    new |= (owner[first[1:]] != owner[first[before]]) | (whose[theirs[1:]] != whose[theirs[before]])
+    begin = np.concatenate(([0], np.flatnonzero(new) + 1))
+    end = np.append(begin[1:], len(first)) - 1
+    return first[begin], first[end] + LETTERS, theirs[begin]
+
+
+def _drawn_out(a: np.ndarray, b: np.ndarray, at, other, room, step: int) -> np.ndarray:
+    """How far two texts agree beyond a place, a letter counting 1 and a difference -2, at most REACH letters."""
+    k = np.arange(REACH)
+    inside = k < room[:, None]
+    i = np.where(inside, at[:, None] + step * k, 0)
+    j = np.where(inside, other[:, None] + step * k, 0)
+    score = np.where(inside, np.where(a[i] == b[j], 1, -2), -REACH).astype(np.int16)
+    total = np.cumsum(score, axis=1, dtype=np.int16)
+    far = total.argmax(axis=1)
+    return np.where(total[np.arange(len(far)), far] > 0, far + 1, 0)
+
+
+_indexes: dict[str, PassageIndex] = {}
+
+
+def _index(name: str, texts: list[str], weight: np.ndarray, min_words: int) -> PassageIndex:
+    """The block's index, built once in each worker."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = PassageIndex(texts, weight, min_words)
+    return _indexes[name]
+
+
+def _measured(pages: DataFrame, texts: list[str], weight: np.ndarray, min_words: int) -> DataFrame:
+    """id, passage, words: the pages that hold runs of at least ``min_words`` words, with the longest."""
     sent = pages.sparkSession.sparkContext.broadcast((texts, weight))
+    name = uuid.uuid4().hex
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _find(*sent.value)
+        index = _index(name, *sent.value, min_words)
         for b in batches:
-            orders = [reading_orders(*x) for x in zip(b["text"], b["left"])]
-            pairs = find([["\n".join(x) for x in page] for page in orders])
-            rows, first = np.unique(pairs[:, 0], return_index=True)
-            if len(rows):
-                hit = b.iloc[rows][["id"]].reset_index(drop=True)
-                hit["orders"] = pd.Series([orders[r] for r in rows], dtype=object)
-                hit["passages"] = pd.Series([x.tolist() for x in np.split(pairs[:, 1], first[1:])], dtype=object)
-                yield hit
-
-    shape = T.StructType([pages.schema["id"], T.StructField("orders", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("passages", T.ArrayType(T.LongType()))])
+            orders = [["\n".join(x) for x in reading_orders(*x)] for x in zip(b["text"], b["left"])]
+            rows, numbers, words = [], [], []
+            pairs = index.find(orders)
+            first = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)).tolist()
+            for i, j in zip(first, [*first[1:], len(pairs)]):
+                row = int(pairs[i, 0])
+                near = index.promising(orders[row], pairs[i:j, 1].tolist())
+                lines = [Lines(plain(x).split("\n")) for x in orders[row]] if near else []
+                for k in near:
+                    n = max(longest_run(index.passages[k], x, min_words) for x in lines)
+                    if n >= min_words:
+                        rows.append(row)
+                        numbers.append(k)
+                        words.append(n)
+            if rows:
+                yield pd.DataFrame({"id": b["id"].iloc[rows].reset_index(drop=True), "passage": numbers, "words": words})
+
+    shape = T.StructType([pages.schema["id"], T.StructField("passage", T.LongType()), T.StructField("words", T.LongType())])
     return pages.mapInPandas(search, shape)
 
 
-def _best_run(passage: Passage, orders: list[Lines], min_words: int) -> int:
-    """The first order's run if it is long enough, else the best of all."""
-    best = 0
-    for lines in orders:
-        best = max(best, longest_run(passage, lines))
-        if best >= min_words:
-            break
-    return best
-
-
-def _measured(candidates: DataFrame, texts: list[str], min_words: int) -> DataFrame:
-    """id, passage, words: the longest run of each candidate pair."""
-    sent = candidates.sparkSession.sparkContext.broadcast(texts)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages: dict[int, Passage] = {}
-        for b in batches:
-            ids, numbers, words = [], [], []
-            for i, orders, ps in zip(b["id"], b["orders"], b["passages"]):
-                orders = [Lines(plain("\n".join(x)).split("\n")) for x in orders[::-1]]
-                for p in ps:
-                    if p not in passages:
-                        passages[p] = Passage(sent.value[p], min_words)
-                    ids.append(i)
-                    numbers.append(p)
-                    words.append(_best_run(passages[p], orders, min_words))
-            if ids:
-                yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "passage": numbers, "words": words})
-
-    shape = T.StructType(
-        [candidates.schema["id"], T.StructField("passage", T.LongType()), T.StructField("words", T.LongType())]
-    )
-    return candidates.mapInPandas(measure, shape)
-
-
 def leaked_items(
     documents: DataFrame,
     items: DataFrame,
@@ -230,7 +309,9 @@ def leaked_items(
     arrays of another length than the text has lines are ignored. All items with the same passage are reported. Null and empty
     texts hold nothing, and items of fewer than ``min_words`` words are never
     found. Rows that repeat a key are one page each and reported once; rows
-    with a null key are searched, too. Empty tables give an empty result.
+    with a null key are searched, too. Empty tables give an empty result. Words
+    are what blanks separate, letters those of any alphabet. ``words`` is the
+    longest run in any of the page's reading orders.
     """
     none = F.lit(None).cast("array<int>")
     left = F.col(f"{boxes}.x0") if boxes else none
@@ -250,10 +331,8 @@ def leaked_items(
         block = [r["passage"] for r in rest.limit(n_fit).collect()]
         if not block and found is not None:
             break
-        near = keep(_candidates(pages, block, weight), "candidates")
-        lots = max(1, near.count() // 100)
-        measured = keep(_measured(near.repartition(lots), block, min_words).where(F.col("words") >= min_words), "runs")
-        numbers = near.sparkSession.createDataFrame(list(enumerate(block)), "passage bigint, text string")
+        measured = keep(_measured(pages, block, weight, min_words), "runs")
+        numbers = measured.sparkSession.createDataFrame(list(enumerate(block)), "passage bigint, text string")
         named = measured.join(numbers, "passage").join(tests.withColumnRenamed("passage", "text"), "text")
         part = named.select(F.col("id").alias(key), F.col("item").alias(item_key), "words")
         found = part if found is None else found.unionByName(part)

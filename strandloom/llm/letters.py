@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 
@@ -36,18 +38,21 @@ MISREADINGS = (
     "à:a n o", "ê:e c o", "ç:c e o", "ô:o c 0", "î:i l", "û:u n ii",
 )
 
-SIZE = len(CLASSES) + 1  # one more for letters outside all classes
+SIZE = len(CLASSES) + 1
+NO_LETTER = 255
+GRAM = 5  # letters of a shingle by which lines are laid on a passage
 
 
 def _folding() -> np.ndarray:
-    table = np.full(256, 255, dtype=np.uint8)
-    for code in range(256):
-        if chr(code).isalnum():
-            table[code] = len(CLASSES)
-    for k, letters in enumerate(CLASSES):
-        for c in letters + letters.upper():
-            if len(c.encode("latin-1", "ignore")) == 1:
-                table[ord(c)] = k
+    """The class of every code point: accented letters join their base, letters of no class are spread over all."""
+    listed = {c: k for k, letters in enumerate(CLASSES) for c in letters}
+    table = np.full(sys.maxunicode + 1, NO_LETTER, dtype=np.uint8)
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        if c.isalnum():
+            small = c.lower()
+            base = small if small in listed else unicodedata.normalize("NFKD", small)[0]
+            table[code] = listed.get(base, ord(base) % SIZE)
     return table
 
 
@@ -55,21 +60,29 @@ FOLD = _folding()
 EXPLAINED = {(one, other) for line in MISREADINGS for one, _, rest in [line.partition(":")] for other in rest.split()}
 
 
+def folded(text: str) -> np.ndarray:
+    """The class of every character, NO_LETTER for those that are none; ``!`` between letters stands for one."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    code = FOLD[points]
+    marks = np.flatnonzero(points[1:-1] == ord("!")) + 1
+    inner = marks[(code[marks - 1] != NO_LETTER) & (code[marks + 1] != NO_LETTER)]
+    code[inner] = FOLD[ord("1")]
+    return code
+
+
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The letter classes of all texts in a row, and the text number of each letter."""
-    blob = "\n".join(t or "" for t in texts).encode("latin-1", "replace")
-    code = FOLD[np.frombuffer(blob, dtype=np.uint8)]
-    at = np.flatnonzero(code != 255)
+    code = folded("\n".join(t or "" for t in texts))
+    at = np.flatnonzero(code != NO_LETTER)
     ends = np.cumsum([len(t or "") + 1 for t in texts])
-    letters = code[at]
     # letters of text i are those before its end; repeat is cheaper than a search per letter
     counts = np.diff(np.searchsorted(at, ends), prepend=0)
-    return letters, np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    return code[at], np.repeat(np.arange(len(texts), dtype=np.int32), counts)
 
 
 def plain(text: str) -> str:
     """Lower-case letters, digits and line ends; ``!`` between letters stands for one and becomes 1."""
-    return _NEITHER.sub("", _MARK.sub("1", text)).lower()
+    return _NEITHER.sub("", _MARK.sub("1", text.lower()))
 
 
 _NEITHER = re.compile(r"[^\w\n]+|_+")
@@ -79,3 +92,11 @@ _MARK = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
 def trigrams(letters: np.ndarray) -> np.ndarray:
     a = letters.astype(np.int32)
     return a[:-2] * (SIZE * SIZE) + a[1:-1] * SIZE + a[2:] if len(a) > 2 else np.empty(0, np.int32)
+
+
+def grams(letters: np.ndarray) -> np.ndarray:
+    """Every GRAM letters in a row as one number."""
+    code = np.zeros(max(len(letters) - GRAM + 1, 0), dtype=np.int64)
+    for k in range(GRAM if len(code) else 0):
+        code = code * SIZE + letters[k : k + len(code)]
+    return code

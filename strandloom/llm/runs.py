@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
-from strandloom.llm.letters import EXPLAINED, FOLD, SIZE, plain, trigrams
+from strandloom.llm.letters import EXPLAINED, GRAM, folded, grams, plain
 
-#: Foreign lines that may stand between two lines of a run, and letters by which rough placements may be off.
-MOST_BETWEEN, SLACK, MARGIN = 14, 6, 40
-#: A line within a run has at least this share of its shingles where it is laid; a run's first and last may have less.
-AGREES = 0.55
+#: Letters by which rough placements may be off, and beyond a rough placement that are compared.
+SLACK, MARGIN = 4, 40
 #: Lines of fewer letters are only looked for where they fill the gap between two others.
 SHORT = 12
-
-
-def _folded(letters: str) -> np.ndarray:
-    return FOLD[np.frombuffer(letters.encode("latin-1", "replace"), dtype=np.uint8)]
+#: The share of its letters that a word of a run has at least in shingles that agree; words of fewer than WORD may have none.
+AGREED, WORD = 0.3, 4
+#: The share of its letters that agree with the line, for a word that may be read.
+READ = 0.55
+#: Lines of more letters are cut into pieces of LONG / 2, so that what is compared stays short.
+LONG = 120
 
 
 class Passage:
@@ -28,17 +32,21 @@ class Passage:
         ends = np.cumsum([len(w) for w in words]).tolist()
         self.letters = "".join(words)
         self.spans = list(zip([0, *ends[:-1]], ends)) if words else []
-        self.shingles = trigrams(_folded(self.letters))
-        self.order = np.argsort(self.shingles, kind="stable")
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.shingles, minlength=SIZE**3))))
+        self.ends = np.array([0, *ends], dtype=np.int64)
+        self.codes = folded(self.letters)
+        self.shingles = grams(self.codes)
         runs = zip(self.spans, self.spans[min_words - 1 :])
         self.least = min((b[1] - a[0] for a, b in runs), default=None)  # letters of the shortest run; None: no run
 
 
+_BEGIN = {(a[0], b[0]) for pair in EXPLAINED for a, b in (pair, pair[::-1])}
+
+
 def _explains(a: str, b: str) -> bool:
     return (a, b) in EXPLAINED or (b, a) in EXPLAINED
 
 
+@lru_cache(1 << 16)
 def _accounted(a: str, b: str) -> bool:
     """Whether reading ``b`` for ``a`` is a chain of known misreadings."""
     if a == b:
@@ -131,30 +139,49 @@ def _fragments(letters: str, start: int, stop: int, line: str, number: int) -> l
     return found
 
 
-def longest_run(passage: Passage, lines: Lines) -> int:
-    """How many consecutive words of the passage stand in the lines.
+def longest_run(passage: Passage, lines: Lines, wanted: int = 1) -> int:
+    """How many consecutive words of the passage stand in the lines; 0 if too few shingles agree for ``wanted`` words.
 
     Each line is laid where most of its letter shingles agree with the passage.
     A run goes on within a line, or from the end of one line to the start of a
-    later one that takes up where it ended; the lines between are foreign and
-    don't interrupt. Words count if all their letters are read, rightly or with
+    later one that takes up where it ended; the lines between, however many, are
+    foreign and don't interrupt. Words count if all their letters are read, rightly or with
     known misreadings; longer words may have one or two unknown ones.
     """
     if passage.least is None:
         return 0
-    placed = _rough_runs(*_placements(passage, lines), passage.least)
+    placed = _rough_runs(passage, lines, *_placements(passage, lines), wanted)
     pieces = [f for place in placed for f in _laid(passage.letters, place, lines.text[place[0]])]
     pieces.sort(key=lambda f: (f.line, f.lo))
     best = 0
-    for i, f in enumerate(pieces):
+    # By where they end, the pieces so far that reach the end of their line: those from which runs start ever
+    # earlier, of pieces cut from a longer line only the latest (only the next may go on with it).
+    ending: dict[int, list[_Fragment]] = {}
+    latest: dict[int, _Fragment] = {}
+    short: dict[tuple[int, int], list[int]] = {}  # the short lines that read a part of the passage
+    added: list[_Fragment] = []
+    for f in pieces:
+        if added and added[-1].line != f.line:
+            for p in added:
+                if p.hi not in latest or (latest[p.hi].line, -latest[p.hi].start) < (p.line, -p.start):
+                    latest[p.hi] = p
+                known = ending.setdefault(p.hi, [])
+                if not lines.goes_on[p.line + 1] and (not known or p.start < known[-1].start):
+                    known.append(p)
+            added = []
         f.start = f.lo
         if f.from_start:
-            for p in reversed(pieces[:i]):
-                if f.line - p.line > MOST_BETWEEN + 1:
-                    break
-                if p.line < f.line and p.to_end and p.start < f.start and _follows(passage.letters, p, f, lines.text):
+            if lines.goes_on[f.line]:
+                earlier = [latest[e] for e in range(f.lo - 1, f.lo + 2) if e in latest and latest[e].line == f.line - 1]
+            else:
+                earlier = [p for e in range(f.lo - SHORT - 1, f.lo + 2) for p in ending.get(e, ())]
+            for p in sorted(earlier, key=lambda p: (abs(f.lo - p.hi), p.start, -p.line)):
+                if p.start < f.start and _follows(passage.letters, p, f, lines, short):
                     f.start = p.start
                     f.weak = f.weak | p.weak | ({p.hi} if f.lo == p.hi + 1 else set())
+                    break
+        if f.to_end:
+            added.append(f)
         best = max(best, _words(passage, f))
     return best
 
@@ -170,14 +197,24 @@ def _laid(letters: str, place: tuple[int, int, int, int], line: str) -> list[_Fr
     return found
 
 
-def _follows(letters: str, p: _Fragment, f: _Fragment, lines: list[str]) -> bool:
+def _follows(letters: str, p: _Fragment, f: _Fragment, lines: Lines, short: dict[tuple[int, int], list[int]]) -> bool:
     gap = f.lo - p.hi
     if -1 <= gap <= 1:
         return True
     if not 1 < gap <= SHORT + 1:
         return False
-    between = (x for x in lines[p.line + 1 : f.line] if 0 < len(x) <= SHORT)
-    return any(abs(len(x) - gap) <= 2 and _accounted(letters[p.hi : f.lo], x) for x in between)
+    if (p.hi, f.lo) not in short:
+        part = letters[p.hi : f.lo]
+        fits = []
+        for size in range(gap - 2, gap + 3):
+            for i in lines.by_size.get(size, ()):
+                text = lines.text[i]
+                if (part[0] == text[0] or (part[0], text[0]) in _BEGIN) and _accounted(part, text):
+                    fits.append(i)
+        fits.sort()
+        short[p.hi, f.lo] = fits
+    fits = short[p.hi, f.lo]
+    return bisect_left(fits, p.line + 1) < bisect_left(fits, f.line)
 
 
 def _words(passage: Passage, f: _Fragment) -> int:
@@ -197,97 +234,182 @@ class Lines:
     """A page's lines of letters in one order, with their shingles."""
 
     def __init__(self, lines: list[str]):
+        cuts = [range(0, max(len(x) - LONG // 2, 0) + 1, LONG // 2) if len(x) > LONG else (0,) for x in lines]
+        lines = [x[i : i + LONG // 2] if len(x) > LONG else x for x, cut in zip(lines, cuts) for i in cut]
         self.text = lines
+        self.goes_on = [i > 0 for cut in cuts for i in cut] + [False]  # a piece goes on with the line before it
+        self.counts: dict[int, list[int]] = {}
+        self.by_size: dict[int, list[int]] = {}  # the short lines
+        for i, x in enumerate(lines):
+            if 0 < len(x) <= SHORT:
+                self.by_size.setdefault(len(x), []).append(i)
         self.numbers = np.array([i for i, x in enumerate(lines) if len(x) >= 5], dtype=np.int64)
         self.sizes = np.array([len(lines[i]) for i in self.numbers], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.own = trigrams(_folded("".join(lines[i] for i in self.numbers)))
-        self.line = np.repeat(np.arange(len(self.numbers)), self.sizes)[: len(self.own)]
-        self.inside = np.arange(len(self.own)) - self.starts[self.line] <= self.sizes[self.line] - 3
-
-
-def _placements(passage: Passage, lines: Lines) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """(line, from, to, at): the parts of the passage that lines agree with, up to three a line, and where in the line.
-
-    With each comes how many letters agree at most, or -1 where (almost) all do.
+        self.lengths = np.array([len(x) for x in lines], dtype=np.int64)
+        self.letters = folded("".join(lines[i] for i in self.numbers))
+        self.line = np.repeat(np.arange(len(self.numbers)), self.sizes)
+        own = grams(self.letters)
+        inside = np.flatnonzero(self.line[: len(own)] == self.line[GRAM - 1 :]) if len(own) else np.empty(0, np.int64)
+        order = np.argsort(own[inside], kind="stable")
+        self.own, self.place = own[inside][order], inside[order]  # shingles in their order, and where they stand
+
+    def short_before(self, size: int) -> list[int]:
+        """How many short lines of about that size stand before each line."""
+        if size not in self.counts:
+            some = np.zeros(len(self.text) + 1, dtype=np.int64)
+            for k in range(size - SLACK, size + SLACK + 1):
+                some[[i + 1 for i in self.by_size.get(k, ())]] = 1
+            self.counts[size] = np.cumsum(some).tolist()
+        return self.counts[size]
+
+
+def _placements(passage: Passage, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """line, from, to, at: the parts of the passage that lines agree with and where in the line; and where it agrees.
+
+    The latter are the starts of shingles. Placements are sorted by line.
     """
-    n = len(passage.letters)
-    sizes, own = lines.sizes, lines.own
-    if not len(own):
-        return [], []
-    # every place of the passage where a line's shingle stands is a vote for (line, offset)
-    first = passage.starts[own]
-    count = np.where(lines.inside, passage.starts[own + 1] - first, 0)
-    who = np.repeat(np.arange(len(own)), count)
-    if not len(who):
-        return [], []
-    nth = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-    at = passage.order[np.repeat(first, count) + nth]
-    whose = lines.line[who]
+    none = np.empty((4, 0), dtype=np.int64), np.empty(0, dtype=np.int64)
+    n, sizes = len(passage.letters), lines.sizes
+    # every place of a line where a shingle of the passage stands is a vote for (line, offset)
+    first = np.searchsorted(lines.own, passage.shingles, side="left")
+    count = np.searchsorted(lines.own, passage.shingles, side="right") - first
+    if not count.any():
+        return none
+    at = np.repeat(np.arange(len(count)), count)
+    who = lines.place[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(at))]
     longest = int(sizes.max())
     width = n + 2 * longest
-    ballots, votes = np.unique(whose * width + at - (who - lines.starts[whose]) + longest, return_counts=True)
+    ballot = lines.line[who] * width + longest - (who - lines.starts[lines.line[who]]) + at
+    ballots, which, votes = np.unique(ballot, return_inverse=True, return_counts=True)
     near = votes.copy()  # votes within two letters belong together: misread letters shift what follows
-    for d in (1, 2):
-        for ahead in range(1, d + 1):  # ballots are sorted and distinct
-            ok = np.flatnonzero(ballots[ahead:] - ballots[:-ahead] == d)
-            near[ok] += votes[ok + ahead]
-            near[ok + ahead] += votes[ok]
+    close = []
+    for ahead in (1, 2):  # ballots are sorted and distinct
+        ok = np.flatnonzero(ballots[ahead:] - ballots[:-ahead] <= 2)
+        near[ok] += votes[ok + ahead]
+        near[ok + ahead] += votes[ok]
+        close.append((ok, ok + ahead))
     whose = ballots // width
     offset = ballots % width - longest
     lo = np.maximum(0, offset)
     hi = np.minimum(n, offset + sizes[whose])
-    full = sizes[whose] - 2
-    enough = (near >= 8) | (near >= np.maximum(np.where(full < 6, 2, 3), 0.35 * (hi - lo - 2)))
-    keep = np.flatnonzero(enough & (hi > lo))
-    keep = keep[np.lexsort((-votes[keep], -near[keep], whose[keep]))]
-    placed: list[tuple[int, int, int, int, int]] = []
-    taken: list[int] = []
-    current, settled = -1, False
-    # a line that agrees well somewhere is only laid where it agrees well
-    agrees = ((near >= AGREES * full) | (full < SHORT))[keep].tolist()
-    columns = (x[keep].tolist() for x in (whose, offset, lo, hi, near))
-    for well, i, o, a, b, v in zip(agrees, *columns):
-        if i != current:
-            current, taken, settled = i, [], well
-        if len(taken) < 3 and well >= settled and all(abs(o - t) > 2 for t in taken):
-            taken.append(o)
-            placed.append((int(lines.numbers[i]), a, b, max(0, -o), -1 if well else v + 2 + SLACK))
-    placed.sort()
-    return [p[:4] for p in placed], [p[4] for p in placed]
+    enough = near >= np.clip(0.15 * (hi - lo), 1, 3)
+    enough &= hi > lo
+    # of ballots within two letters that with the most votes speaks for all
+    rank = near * (int(votes.max()) + 1) + votes
+    keep = enough.copy()
+    for left, right in close:
+        better = rank[left] >= rank[right]
+        keep[np.where(better, right, left)] = False
+    k = np.flatnonzero(keep)
+    placed = np.stack([lines.numbers[whose[k]], lo[k], hi[k], np.maximum(0, -offset[k])])
+    return placed, at[enough[which]]
+
+
+def _within(passage: Passage, spans: np.ndarray, marked: np.ndarray, share: float, wanted: int) -> np.ndarray:
+    """Which spans meet ``wanted`` words in a row that have that share of marked letters; short words need none."""
+    total = np.concatenate(([0], np.cumsum(marked)))
+    sizes = np.diff(passage.ends)
+    unread = (sizes >= WORD) & (np.diff(total[passage.ends]) < share * sizes)
+    stops = np.concatenate(([-1], np.flatnonzero(unread), [len(sizes)]))
+    runs = np.flatnonzero(np.diff(stops) - 1 >= wanted)
+    first, last = passage.ends[stops[runs] + 1], passage.ends[stops[runs + 1]]
+    return np.searchsorted(first, spans[1]) > np.searchsorted(last, spans[0], side="right")
 
 
 def _rough_runs(
-    placed: list[tuple[int, int, int, int]], agreed: list[int], least: int
+    passage: Passage, lines: Lines, placed: np.ndarray, agreeing: np.ndarray, wanted: int
 ) -> list[tuple[int, int, int, int]]:
-    """The placements that lie on some sequence of lines long enough for a run.
+    """The placements that lie on some sequence of lines in which ``wanted`` words in a row seem readable.
 
-    Lines within a sequence agree well; of its first and last line only the
-    letters that agree count.
+    A word seems readable in a line if READ of its letters agree. Two words less
+    are enough, so that rough placements lose none.
     """
-    n = len(placed)
-    first = [lo if a < 0 else max(lo, hi - a) for (_, lo, hi, _), a in zip(placed, agreed)]
-    last = [hi if a < 0 else min(hi, lo + a) for (_, lo, hi, _), a in zip(placed, agreed)]
-    before, after = list(first), list(last)  # how far the best sequences to and from each line reach
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, (line, lo, _, _) in enumerate(placed):
-        for j in range(i - 1, -1, -1):
-            other, _, hi, _ = placed[j]
-            if line - other > MOST_BETWEEN + 1:
-                break
-            if other < line and -SLACK <= lo - hi <= SHORT + SLACK:
-                back[i].append(j)
-                before[i] = min(before[i], before[j] if agreed[j] < 0 else first[j])
-    for i in range(n - 1, -1, -1):
-        for j in back[i]:
-            after[j] = max(after[j], after[i] if agreed[i] < 0 else last[i])
-    wanted = least - SLACK
+    if not placed.size:
+        return []
+    marked = np.zeros(len(passage.letters) + GRAM, dtype=bool)
+    for k in range(GRAM):
+        marked[agreeing + k] = True
+    some = _within(passage, placed[1:3], marked, AGREED, wanted - 2)
+    if not some.any():
+        return []
+    placed = placed[:, some]
+    number, lo, hi, _ = placed
+    n = len(lo)
+    # letters of each placement that agree in place, or two in a row up to two letters off, and the words that can't be read
+    column = np.arange(int((hi - lo).max()))
+    mine = passage.codes[np.minimum(lo[:, None] + column, len(passage.codes) - 1)]
+    marks = np.zeros((n, len(column) + 1), dtype=bool)
+    begin = lines.starts[np.searchsorted(lines.numbers, number)]
+    at = begin + placed[3]
+    for d in range(-2, 3):
+        there = at[:, None] + column + d
+        inside = (there >= begin[:, None]) & (there < (begin + lines.lengths[number])[:, None]) & (column < (hi - lo)[:, None])
+        same = inside & (mine == lines.letters[np.clip(there, 0, len(lines.letters) - 1)])
+        both = same[:, 1:] & same[:, :-1]
+        marks[:, 1:-1] |= both
+        marks[:, 2:] |= both
+        if d == 0:
+            marks[:, 1:] |= same
+    i, j = np.nonzero(marks[:, 1:])
+    marked[:] = False
+    marked[lo[i] + j] = True
+    some = _within(passage, placed[1:3], marked, READ, wanted - 2)
+    if not some.any():
+        return []
+    placed, marks = placed[:, some], marks[some]
+    number, lo, hi, _ = placed
+    n = len(lo)
+    total = np.cumsum(marks, axis=1)
+    first = np.searchsorted(passage.ends, lo, side="right") - 1
+    last = np.searchsorted(passage.ends, hi - 1, side="right") - 1
+    count = last - first + 1
+    row = np.repeat(np.arange(n), count)
+    word = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+    a = np.maximum(passage.ends[word], lo[row]) - lo[row]
+    b = np.minimum(passage.ends[word + 1], hi[row]) - lo[row]
+    bad = (b - a >= WORD) & (total[row, b] - total[row, a] < READ * (b - a))
+    breaks: list[list[int]] = [[] for _ in range(n)]
+    for i, w in zip(row[bad].tolist(), word[bad].tolist()):
+        breaks[i].append(w)
+
+    # how far back the words before each placement's first break reach, and how far on those after its last
+    number, lo, hi, first, last = (x.tolist() for x in (number, lo, hi, first, last))
+    start = [b[-1] + 1 if b else f for b, f in zip(breaks, first)]
+    on = [b[0] - 1 if b else e for b, e in zip(breaks, last)]
+    back, ahead = list(first), list(last)
+    reached: dict[int, int] = {}  # by where earlier lines end, the first word of what leads there
+    for some in _by_line(number, range(n)):
+        for i in some:
+            if not breaks[i] or breaks[i][0] > first[i]:
+                gaps = [e for e in range(lo[i] - SHORT - SLACK, lo[i] + SLACK + 1) if e in reached]
+                fit = [reached[e] for e in gaps if lo[i] - e <= SLACK or lines.short_before(lo[i] - e)[number[i]]]
+                back[i] = min([back[i], *fit])
+            if not breaks[i]:
+                start[i] = back[i]
+        for i in some:
+            if start[i] <= last[i]:
+                reached[hi[i]] = min(start[i], reached.get(hi[i], start[i]))
+    reached = {}  # by where later lines begin, the last word of what follows
+    for some in _by_line(number, range(n - 1, -1, -1)):
+        for i in some:
+            if start[i] <= last[i]:
+                gaps = [b for b in range(hi[i] - SLACK, hi[i] + SHORT + SLACK + 1) if b in reached]
+                fit = [reached[b] for b in gaps if b - hi[i] <= SLACK or lines.short_before(b - hi[i])[-1]]
+                ahead[i] = max([ahead[i], *fit])
+            if not breaks[i]:
+                on[i] = ahead[i]
+        for i in some:
+            if on[i] >= first[i]:
+                reached[lo[i]] = max(on[i], reached.get(lo[i], on[i]))
     chosen = []
-    for i, p in enumerate(placed):
-        if agreed[i] < 0:
-            reach = after[i] - before[i]
-        else:  # an end of a run: nothing on one of its sides counts
-            reach = max(last[i] - before[i], after[i] - first[i])
-        if reach >= wanted:
-            chosen.append(p)
-    return chosen
+    for i in range(n):
+        inner = max((b - a - 1 for a, b in zip(breaks[i], breaks[i][1:])), default=0)
+        most = max(on[i] - back[i], ahead[i] - (breaks[i][-1] + 1 if breaks[i] else back[i])) + 1
+        if max(most, inner) >= wanted - 2:
+            chosen.append(i)
+    return [tuple(p) for p in placed[:, chosen].T.tolist()]
+
+
+def _by_line(number: list[int], order: range) -> Iterator[list[int]]:
+    return (list(some) for _, some in groupby(order, key=number.__getitem__))

@@ -133,11 +133,36 @@ def test_short_runs_with_misread_letters_and_foreign_lines_are_candidates():
         start = min(range(60), key=lambda i: len("".join(words[i : i + 20])))
         short = [w[:4] for w in words[start : start + 20]]  # about 80 letters
         made.append((" ".join(words[:30] + short + words[50:]), short))
-    find = leakage._find([t for t, _ in made], fp.weights(np.zeros(SIZE**3)))
+    index = leakage.PassageIndex([t for t, _ in made], fp.weights(np.zeros(SIZE**3)), 20)
     pages = []
     for _, short in made:
         lines = [" ".join(short[i : i + 7]) for i in (0, 7, 14)]
         lines[::2] = [f"{x[:5]}w{x[6:]}" for x in lines[::2]]  # a letter of another class
         pages.append(["\n".join([lines[0], "zzz kkk", lines[1], "zzz kkk", lines[2]])])
-    got = set(map(tuple, find(pages).tolist()))
+    got = set(map(tuple, index.find(pages).tolist()))
     assert {(i, i) for i in range(20)} <= got
+    assert all(i in index.promising(page, list(range(20))) for i, page in enumerate(pages))
+
+
+def test_foreign_lines_of_any_number_and_other_alphabets_do_not_interrupt(spark):
+    rng = random.Random(21)
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπχρστθωςχυζ")
+    polish = str.maketrans("aceloszn", "ąćęłóśźń")
+    cyrillic = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстужвьыз")
+    texts = [prose(rng, 60).translate(x) for x in ({}, greek, polish, cyrillic)]
+    rows = []
+    for i, text in enumerate(texts):
+        lines = wrapped(" ".join(text.split()[10:40]), 40)
+        for n in (15, 40, 200):
+            page = [x for line in lines for x in (line, *[prose(rng, 6) for _ in range(n)])]
+            rows.append((len(rows), "\n".join(page), None, str(i), n))
+    got = found(spark, rows, [(i, t, "") for i, t in enumerate(texts)])
+    assert set(got) == {(r[0], int(r[3])) for r in rows} and all(30 <= n <= 32 for n in got.values())
+
+
+def test_a_line_may_hold_parts_of_a_passage_at_many_places():
+    rng = random.Random(22)
+    words = prose(rng, 200).split()
+    cut = [" ".join(words[i : i + 30]) for i in range(0, 200, 40)]
+    page = f" {prose(rng, 9)} ".join([*cut, " ".join(words[:38])])
+    assert 30 <= run(" ".join(words), [page]) <= 38  # a piece of a long line is joined to one piece before it
