@@ -86,6 +86,9 @@ def pack_items(
     for i in range(rounds):
         lots = max(1, -(-pool.count() // lot))
         dealt = pool.withColumn("lot", F.pmod(F.xxhash64(key, "piece_no", F.lit(i)), F.lit(lots)))
+        # few bytes and much work: as many tasks as lots, up to the cores, which adaptive execution would merge into one
+        tasks = min(lots, max(1, pool.sparkSession.sparkContext.defaultParallelism) * 4)
+        dealt = dealt.repartition(tasks, "lot")
         packed = keep(dealt.groupBy("lot").applyInPandas(_pack_lot(capacity, key, i), shape), "packed")
         loose = packed.where(F.col("room") > LOOSE)
         if i == rounds - 1 or loose.select("container").distinct().limit(2).count() < 2:
