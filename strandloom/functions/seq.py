@@ -32,7 +32,8 @@ def codon_index(codon: Column) -> Column:
     def base(i: int) -> Column:  # two bits of the letters' codes tell A, C, T and G apart
         return F.shiftright(F.ascii(F.substring(codon, i, 1)), 1).bitwiseAND(F.lit(3))
 
-    return F.when(codon.rlike("^[ACGT]{3}$"), base(1) * 16 + base(2) * 4 + base(3))
+    known = (F.length(codon) == 3) & (F.translate(codon, "ACTG", "") == "")
+    return F.when(known, base(1) * 16 + base(2) * 4 + base(3))
 
 
 def by_codon(values: dict, codon: Column) -> Column:

@@ -104,17 +104,50 @@ def homopolymers(sequences: DataFrame, key: str, dna: str, limits: Limits = Limi
     )
 
 
+def _kmers(u: Column, k: int) -> Column:
+    """All k-mers in their order; none of a sequence too short to hold two beside each other."""
+    at = F.when(F.length(u) >= 2 * k, F.sequence(F.lit(0), F.length(u) - k))
+    return F.transform(at, lambda i: F.substring(u, i + 1, F.lit(k)))
+
+
+def has_repeats(u: Column, k: int) -> Column:
+    kmers = _kmers(u, k)
+    return F.coalesce(F.size(F.array_distinct(kmers)) < F.size(kmers), F.lit(False))
+
+
+def repeated_kmers(u: Column, k: int) -> Column:
+    """(kmer, first_at, second_at) of neighbouring places of equal k-mers, found by sorting them inside the row."""
+    places = F.array_sort(F.transform(_kmers(u, k), lambda kmer, i: F.struct(kmer.alias("kmer"), i.alias("at"))))
+    rest = F.size(places) - 1
+    pairs = F.zip_with(
+        F.slice(places, F.lit(1), rest), F.slice(places, F.lit(2), rest),
+        lambda a, b: F.when(a["kmer"] == b["kmer"], F.struct(a["kmer"].alias("kmer"), a["at"].alias("first_at"), b["at"].alias("second_at"))),
+    )
+    return F.filter(pairs, lambda x: x.isNotNull())
+
+
 def repeats(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
-    """key, kmer, first_at, second_at, copies: k-mers that occur more than once in a sequence."""
+    """key, kmer, first_at, second_at, copies, repeat_length: k-mers that occur more than once in a sequence.
+
+    ``repeat_length``: how far the first two copies agree, without running into
+    each other by more than the k-mer itself. All is compared inside a row;
+    only the k-mers that repeat are shuffled.
+    """
     k = limits.repeat_length
-    upper = sequences.where(F.length(dna) >= 2 * k).select(key, F.upper(F.col(dna)).alias("u"))
-    kmers = F.transform(F.sequence(F.lit(0), F.length("u") - k), lambda i: F.substring(F.col("u"), i + 1, F.lit(k)))
-    places = upper.select(key, F.posexplode(kmers).alias("at", "kmer"))
-    # min and second smallest by partial aggregates: no list of positions is collected
-    first = places.groupBy(key, "kmer").agg(F.min("at").alias("first_at"), F.count("*").alias("copies"))
-    several = first.where("copies > 1")
-    later = places.join(several, [key, "kmer"]).where(F.col("at") > F.col("first_at"))
-    return later.groupBy(key, "kmer", "first_at", "copies").agg(F.min("at").alias("second_at"))
+    u, first_at, second_at = F.col("u"), F.col("first_at"), F.col("second_at")
+    upper = sequences.select(key, F.upper(F.col(dna)).alias("u")).where(has_repeats(u, k))
+    pairs = upper.select(key, "u", F.explode(repeated_kmers(u, k)).alias("x")).select(key, "u", "x.*")
+    # the first place where the copies differ ends the repeat
+    room = F.least(F.length(u) - second_at, F.greatest(F.lit(k), second_at - first_at))
+
+    def ends(i: Column) -> Column:
+        return (i >= room) | (F.substring(u, first_at + i + 1, F.lit(1)) != F.substring(u, second_at + i + 1, F.lit(1)))
+
+    length = F.element_at(F.filter(F.sequence(F.lit(k), room), ends), 1)
+    return pairs.select(key, "kmer", "first_at", "second_at", length.alias("n")).groupBy(key, "kmer").agg(
+        F.min("first_at").alias("first_at"), F.min("second_at").alias("second_at"), (F.count("*") + 1).alias("copies"),
+        F.min_by("n", "first_at").alias("repeat_length"),
+    )
 
 
 def stems(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
@@ -140,12 +173,21 @@ def stem_codons(pairs: DataFrame, key: str, limits: Limits = Limits()) -> DataFr
     return spans.select(key, F.explode(inside).alias("codon_index")).where("codon_index > 0").distinct()
 
 
-def qc_summary(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
-    """key, overall_gc, gc_ok, n_homopolymers, qc_pass, all in one pass over the rows."""
+def qc_summary(sequences: DataFrame, key: str, dna: str, structure: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """key, overall_gc, gc_ok, n_homopolymers, n_repeats, structure_ok, qc_pass, all in one pass over the rows.
+
+    A sequence passes if its GC share is in range, no run of one base is too
+    long, no k-mer repeats, and it isn't marked as strongly structured;
+    ``structure`` names that mark, null or no column counts as unmarked.
+    """
     u = F.upper(F.col(dna))
     low, high = limits.gc_range
     runs = F.size(F.regexp_extract_all(u, F.lit(rf"((.)\2{{{limits.max_run},}})"), F.lit(1)))
     gc = seq.gc_content(u)
+    k = limits.repeat_length
+    again = F.when(has_repeats(u, k), F.size(F.array_distinct(F.transform(repeated_kmers(u, k), lambda x: x["kmer"])))).otherwise(0)
+    open_end = ~F.coalesce(F.col(structure), F.lit(False)) if structure else F.lit(True)
     return sequences.where(F.col(dna).isNotNull()).select(
-        key, gc.alias("overall_gc"), gc.between(low, high).alias("gc_ok"), runs.alias("n_homopolymers")
-    ).withColumn("qc_pass", F.col("gc_ok") & (F.col("n_homopolymers") == 0))
+        key, gc.alias("overall_gc"), gc.between(low, high).alias("gc_ok"), runs.alias("n_homopolymers"),
+        again.alias("n_repeats"), open_end.alias("structure_ok"),
+    ).withColumn("qc_pass", F.col("gc_ok") & (F.col("n_homopolymers") == 0) & (F.col("n_repeats") == 0) & F.col("structure_ok"))

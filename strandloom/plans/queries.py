@@ -513,9 +513,15 @@ def homopolymers(spark: SparkSession, folder: str) -> DataFrame:
   kmers AS (SELECT locus_tag, pos, dna[pos + 1:pos + 12] AS kmer FROM places),
   nth AS (
     SELECT *, row_number() OVER (PARTITION BY locus_tag, kmer ORDER BY pos) AS k,
-      count(*) OVER (PARTITION BY locus_tag, kmer) AS copies FROM kmers)
-  SELECT locus_tag, kmer, CAST(max(pos) FILTER (k = 1) AS INT) AS first_at, CAST(max(pos) FILTER (k = 2) AS INT) AS second_at,
-    max(copies) AS copies FROM nth WHERE copies > 1 GROUP BY locus_tag, kmer""")
+      count(*) OVER (PARTITION BY locus_tag, kmer) AS copies FROM kmers),
+  found AS (
+    SELECT locus_tag, kmer, CAST(max(pos) FILTER (k = 1) AS INT) AS first_at, CAST(max(pos) FILTER (k = 2) AS INT) AS second_at,
+      max(copies) AS copies FROM nth WHERE copies > 1 GROUP BY locus_tag, kmer),
+  rooms AS (
+    SELECT f.*, v.dna, least(length(v.dna) - second_at, greatest(12, second_at - first_at)) AS room
+    FROM found f JOIN valid v USING (locus_tag))
+  SELECT locus_tag, kmer, first_at, second_at, copies, CAST(list_min(list_filter(range(12, room + 1),
+    lambda i: i >= room OR dna[first_at + i + 1] <> dna[second_at + i + 1])) AS INT) AS repeat_length FROM rooms""")
 def direct_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return qc.repeats(_cds(spark, folder), "locus_tag", "nucleotide_seq")
 
@@ -542,17 +548,20 @@ def stem_codons(spark: SparkSession, folder: str) -> DataFrame:
     return qc.stem_codons(five_prime_stems(spark, folder), "locus_tag")
 
 
-@_query(f"""SELECT target_idx, variant_number, round(gc, 9) AS overall_gc, n_homopolymers,
-    (gc BETWEEN 0.25 AND 0.65 AND n_homopolymers = 0) AS qc_pass FROM (
-    SELECT target_idx, variant_number, CASE WHEN length(dna_sequence) > 0 THEN
+@_query(f"""SELECT target_idx, variant_number, round(gc, 9) AS overall_gc, n_homopolymers, n_repeats,
+    (gc BETWEEN 0.25 AND 0.65 AND n_homopolymers = 0 AND n_repeats = 0 AND NOT strong) AS qc_pass FROM (
+    SELECT target_idx, variant_number, coalesce(has_strong_structure, false) AS strong,
+      CASE WHEN length(dna_sequence) < 24 THEN 0 ELSE len(list_filter(map_values(list_histogram(
+        list_transform(range(1, length(dna_sequence) - 10), lambda i: upper(dna_sequence)[i:i + 11]))),
+        lambda n: n > 1)) END AS n_repeats, CASE WHEN length(dna_sequence) > 0 THEN
         length(regexp_replace(upper(dna_sequence), '[^GC]', '', 'g')) / length(dna_sequence) ELSE 0.0 END AS gc,
       len(regexp_extract_all(upper(dna_sequence), '{_RUNS}')) AS n_homopolymers
     FROM variants WHERE dna_sequence IS NOT NULL)""")
 def qc_summary(spark: SparkSession, folder: str) -> DataFrame:
     variants = table(spark, folder, "variants")
     keyed = variants.withColumn("key", F.struct("target_idx", "variant_number"))
-    found = qc.qc_summary(keyed, "key", "dna_sequence")
-    return found.select("key.*", _r("overall_gc").alias("overall_gc"), "n_homopolymers", "qc_pass")
+    found = qc.qc_summary(keyed, "key", "dna_sequence", "has_strong_structure")
+    return found.select("key.*", _r("overall_gc").alias("overall_gc"), "n_homopolymers", "n_repeats", "qc_pass")
 
 
 @_query(f"""WITH p AS (
