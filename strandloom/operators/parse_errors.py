@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.workspace import keep
+
 #: The rule of each canonical field; the value is trimmed and, for numbers, freed of commas.
 NUMBER = r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 RULES = [
@@ -118,11 +120,14 @@ def read_lines(lines: DataFrame, aliases: DataFrame) -> ParsedLines:
     field that a header doesn't have is null in the records. Where several
     header columns mean one field, every one is checked and the first is taken.
     Rows that repeat a raw_id are one line if equal; if they differ, an error of
-    any of them counts. Empty tables give empty results.
+    any of them counts. Rows with a null raw_id can't be told apart: together they
+    are one line for the errors, and they are no records. Empty tables give empty
+    results.
     """
     spark = lines.sparkSession
     cut = cut_lines(lines)
-    headers = file_headers(cut, aliases)
+    # written, so that its true size decides about a broadcast; lines needn't be shuffled by their file
+    headers = keep(file_headers(cut_lines(lines.where("line_no = 1")), aliases), "headers")
     body = cut.where("line_no is null or line_no <> 1").join(headers, "file_name", "left")
     structure = F.when(~F.col("sound"), F.lit(0)).when(
         F.col("fields").isNull() | (F.size("cells") != F.size("fields")), F.lit(1)
@@ -146,7 +151,8 @@ def read_lines(lines: DataFrame, aliases: DataFrame) -> ParsedLines:
         at = F.array_position("fields", F.lit(field))
         return F.when(at > 0, F.try_element_at("cells", at.cast("int")))
 
-    clean = body.join(errors.select("raw_id"), "raw_id", "left_anti").dropDuplicates(["raw_id"])
+    # lines without raw_id can't be told apart: they are judged as one line, and none is a record
+    clean = body.where("raw_id is not null").join(errors.select("raw_id"), "raw_id", "left_anti").dropDuplicates(["raw_id"])
     typed = [
         (trimmed(cell(name)) if kind == "text" else plain_number(cell(name)).try_cast("double")).alias(name)
         for name, kind, _ in RULES
