@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from strandloom.operators.orphans import orphan_counts, orphan_references
+from strandloom.operators.orphans import orphan_counts, orphan_references, orphan_state
 
 REF, PARENT = "ref_table string, row_id bigint, key string, at timestamp", "key string, added_at timestamp, retired_at timestamp"
 DAY = [datetime(2020, 1, 1) + timedelta(days=i) for i in range(60)]
@@ -55,3 +55,28 @@ def test_empty_tables_and_counts(spark):
     ids, found = run(spark, [("t", 1, "a", DAY[0]), ("t", 1, "a", DAY[0])], [])
     assert ids == {("t", 1, "missing")}
     assert [tuple(r) for r in orphan_counts(found).collect()] == [("t", "2020-01", "missing", 1)]
+
+
+def test_counts_after_every_slice(spark):
+    rng = random.Random(8)
+    parents = []
+    for k in "abcdefgh":
+        for _ in range(rng.choice([1, 2, 3])):
+            a = rng.randrange(50)
+            parents.append((k, DAY[a], rng.choice([None, DAY[rng.randrange(a, 60)]])))
+    refs = [("t", i, rng.choice("abcdefghxy"), rng.choice(DAY)) for i in range(300)]
+    state = orphan_state(spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), 5)
+    assert len(state.counts) == len(state.until) == 5
+    reopened = 0
+    for i, until in enumerate(state.until):
+        end = datetime.max if until is None else datetime(1970, 1, 1) + timedelta(microseconds=until)
+        seen = [r for r in refs if r[3] < end]
+        # a parent retired later still holds; one that arrives later isn't known yet
+        known = [(k, a, None if r and r >= end else r) for k, a, r in parents if a < end]
+        wanted = {}
+        for _, _, reason in by_hand(seen, known):
+            wanted[reason] = wanted.get(reason, 0) + 1
+        got = {r["reason"]: r["n_orphans"] for r in state.counts[i].collect()}
+        assert got == wanted
+        reopened += got.get("deleted", 0)
+    assert reopened
