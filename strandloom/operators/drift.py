@@ -15,14 +15,9 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.parse_errors import alias_keys, field_key, plain_number, trimmed
 
-#: The type of each canonical field in the consistent table; fields not listed are strings.
-TYPES = {
-    "RPKM_rep1": "double",
-    "RPKM_rep2": "double",
-    "RPKM_rep3": "double",
-    "RPKM_average": "double",
-}
-MOST_ALIASES = 10_000
+MOST_ALIASES = 10_000  # names in an alias table that can become columns
+#: The SQL type of a field of each JSON type.
+SQL_TYPES = {"number": "double", "boolean": "boolean"}
 
 
 def _json_kind(value: Column) -> Column:
@@ -82,6 +77,7 @@ class Drift:
     changes: DataFrame
     lifespans: DataFrame
     records: DataFrame
+    failed_casts: DataFrame
 
 
 def schema_drift(feed: DataFrame, aliases: DataFrame) -> Drift:
@@ -94,15 +90,20 @@ def schema_drift(feed: DataFrame, aliases: DataFrame) -> Drift:
       with the preceding one of its source; ``file_name`` is the later file.
     * lifespans: source, field_name, key_name, json_type, first_file, last_file:
       the islands of files in which a field kept its key and type.
-    * records: source, file_name, rec_no and one column per canonical field.
-
-    A record that isn't a JSON object has no fields, but its file counts. Keys
-    without alias are fields under their normalised name in changes, and don't
-    appear in records. The more frequent key (type) stands for a field's key
+    * records: source, file_name, rec_no, one column per canonical field, and
+      ``rest``: the values of keys without alias, and of second keys of a field.
+    * failed_casts: source, file_name, rec_no, field_name, value: what a record
+      holds but its column's type can't.
+
+    The columns' types come from the lifespans: a field is of the JSON type that
+    it had in most of the files (of equally many, the first by name). A record
+    that isn't a JSON object has no fields, but its file counts. Keys without
+    alias are fields under their normalised name in changes. The more frequent key (type) stands for a field's key
     (type) in a file, of equally frequent ones the last by name. A field with
     only null values has no type and is never retyped. Null sources form one
     source. Empty tables give empty results.
     """
+    feed = feed.withColumn("source", F.struct("source"))  # a struct is never null, so null sources meet in joins
     cell_rows = cells(feed, aliases)
     files = file_order(feed)
     meta = catalogue(cell_rows).join(files, ["source", "file_name"])
@@ -161,30 +162,68 @@ def schema_drift(feed: DataFrame, aliases: DataFrame) -> Drift:
         F.max_by("file_name", "seq").alias("last_file"),
         F.count("*").alias("n_files"),
     )
-    return Drift(changes, lifespans.drop("run"), consistent_records(feed, aliases))
+    plain = F.col("source.source").alias("source")
+    records, failed = consistent_records(feed.withColumn("source", plain), aliases, lifespans)
+    return Drift(
+        changes.withColumn("source", plain), lifespans.drop("run").withColumn("source", plain), records, failed
+    )
+
+
+def field_types(lifespans: DataFrame) -> dict[str, str]:
+    """The SQL type of each field: of the JSON type that most files have; at most one row per field name is collected."""
+    typed = lifespans.where("json_type is not null").groupBy("field_name", "json_type").agg(F.sum("n_files").alias("n"))
+    rank = F.struct((-F.col("n")).alias("n"), "json_type")
+    chosen = typed.groupBy("field_name").agg(F.min(rank)["json_type"].alias("json_type")).limit(MOST_ALIASES)
+    return {r["field_name"]: SQL_TYPES.get(r["json_type"], "string") for r in chosen.collect()}
+
 
+def consistent_records(feed: DataFrame, aliases: DataFrame, lifespans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All records, as delivered, in one schema generated from the alias table and the lifespans; and what it can't hold.
 
-def consistent_records(feed: DataFrame, aliases: DataFrame) -> DataFrame:
-    """All records, as delivered, in one schema: the casts come from the alias table and ``TYPES``."""
+    Raises if the alias table has more than MOST_ALIASES names.
+    """
     known = alias_keys(aliases).limit(MOST_ALIASES + 1).collect()
     if len(known) > MOST_ALIASES:
         raise ValueError(f"an alias table of more than {MOST_ALIASES} names can't become columns")
     names = F.lit(None).cast("map<string,string>")
     if known:
         names = F.create_map(*[F.lit(x) for r in known for x in (r["field_key"], r["canonical"])])
+    canonical = sorted({r["canonical"] for r in known})
+    types = field_types(lifespans.join(F.broadcast(aliases.select(F.col("canonical").alias("field_name")).distinct()), "field_name"))
     fields = F.from_json("record", "map<string,variant>")
     entries = F.transform(
         F.map_entries(fields),
-        lambda e: F.struct(F.try_element_at(names, field_key(e["key"])).alias("name"), e["value"].alias("value")),
+        lambda e: F.struct(
+            F.try_element_at(names, field_key(e["key"])).alias("name"),
+            e["key"].alias("key"),
+            F.try_variant_get(e["value"], "$", "string").alias("text"),
+        ),
     )
-    parsed = feed.select("source", "file_name", "rec_no", entries.alias("entries"))
-
-    def field(name: str) -> Column:
-        found = F.filter("entries", lambda e: e["name"] == name)
-        text = F.try_variant_get(F.try_element_at(found, F.lit(1))["value"], "$", "string")
-        if TYPES.get(name) == "double":
-            return plain_number(text).try_cast("double").alias(name)
-        return trimmed(text).alias(name)
-
-    canonical = sorted({r["canonical"] for r in known})
-    return parsed.select("source", "file_name", "rec_no", *[field(n) for n in canonical])
+    # of several keys of one field the first that isn't null stands in its column
+    ordered = F.array_sort(entries)
+    parsed = feed.select("source", "file_name", "rec_no", ordered.alias("entries"))
+
+    def chosen(name: str) -> Column:
+        own = F.filter("entries", lambda e: (e["name"] == name) & e["text"].isNotNull())
+        return F.try_element_at(own, F.lit(1))
+
+    picked = parsed.select("source", "file_name", "rec_no", "entries", *[chosen(n).alias(f"cell_{n}") for n in canonical])
+
+    def typed(name: str) -> Column:
+        text = F.col(f"`cell_{name}`")["text"]
+        if types.get(name) == "double":
+            return plain_number(text).try_cast("double")
+        return trimmed(text).try_cast(types.get(name, "string"))
+
+    taken = F.array(*[F.col(f"`cell_{n}`")["key"] for n in canonical]).cast("array<string>")
+    left = F.filter("entries", lambda e: ~F.array_contains(F.array_compact(taken), e["key"]) & e["text"].isNotNull())
+    rest = F.map_from_entries(F.transform(left, lambda e: F.struct(e["key"], e["text"])))
+    records = picked.select("source", "file_name", "rec_no", *[typed(n).alias(n) for n in canonical], rest.alias("rest"))
+    lost = [
+        F.when(F.col(f"`cell_{n}`").isNotNull() & (trimmed(F.col(f"`cell_{n}`")["text"]) != "") & typed(n).isNull(),
+               F.struct(F.lit(n).alias("field_name"), F.col(f"`cell_{n}`")["text"].alias("value")))
+        for n in canonical if types.get(n, "string") != "string"
+    ]
+    nothing = F.array().cast("array<struct<field_name:string,value:string>>")
+    failed = picked.select("source", "file_name", "rec_no", F.explode(F.array_compact(F.array(*lost)) if lost else nothing).alias("x"))
+    return records, failed.select("source", "file_name", "rec_no", "x.*")

@@ -53,8 +53,12 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift(table(spark, folder, "expression_feed"), table(spark, folder, "field_aliases")).records
 
 
+def p5_failed_casts(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift(table(spark, folder, "expression_feed"), table(spark, folder, "field_aliases")).failed_casts
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p3_found, p3_records, p4_found, p4_counts, p5_found, p5_lifespans, p5_records)
+    own = (p3_found, p3_records, p4_found, p4_counts, p5_found, p5_lifespans, p5_records, p5_failed_casts)
     return {f.__name__: f for f in own}
 
 
@@ -160,8 +164,33 @@ found AS (
 """
 
 
+_SPANS = f"""{_DRIFT},
+state AS (
+  SELECT m.*, f.file_name, lag(seq) OVER w AS ps, lag(key) OVER w AS pk, lag(t) OVER w AS pt
+  FROM meta m JOIN files f USING (source, seq) WINDOW w AS (PARTITION BY m.source, field_name ORDER BY seq)),
+runs AS (
+  SELECT *, sum(CASE WHEN ps = seq - 1 AND pk = key AND pt IS NOT DISTINCT FROM t THEN 0 ELSE 1 END)
+    OVER (PARTITION BY source, field_name ORDER BY seq) AS run FROM state),
+spans AS (
+  SELECT source, field_name, key AS key_name, t AS json_type, min_by(file_name, seq) AS first_file,
+    max_by(file_name, seq) AS last_file, count(*) AS n_files FROM runs GROUP BY source, field_name, run, key, t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_records": rf"""WITH {_LINES},
+            good AS (
+              SELECT DISTINCT ON (raw_id) raw_id, file_name, line_no, cells FROM body b WHERE ok AND n = len(cells)
+                AND raw_id NOT IN (SELECT raw_id FROM bad_values)),
+            places AS (SELECT file_name, canonical, min(pos) AS pos FROM columns GROUP BY ALL),
+            cells_of AS (
+              SELECT g.raw_id, g.file_name, g.line_no, p.canonical, trim(g.cells[p.pos], ' ' || chr(9)) AS v
+              FROM good g JOIN places p ON p.file_name = g.file_name)
+            SELECT raw_id, file_name, line_no, max(v) FILTER (canonical = 'locus_tag') AS locus_tag,
+              {", ".join(f"CAST(replace(max(v) FILTER (canonical = '{c}'), ',', '') AS DOUBLE) AS {c}" for c in
+                         ("RPKM_rep1", "RPKM_rep2", "RPKM_rep3", "RPKM_average"))}
+            FROM cells_of GROUP BY raw_id, file_name, line_no""",
+        "p5_lifespans": f"WITH {_SPANS} SELECT * FROM spans",
         "p3_found": f"""WITH {_LINES}
             SELECT b.raw_id, CASE WHEN NOT b.ok THEN 'quoting'
               WHEN b.n IS NULL OR len(b.cells) <> b.n THEN 'column_count' ELSE 'value' END AS reason
