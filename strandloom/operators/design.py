@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
+from strandloom.operators import codon_usage
 
 
 def clean_protein(protein: Column) -> Column:
@@ -95,15 +96,36 @@ def candidates(targets: DataFrame, n: int) -> DataFrame:
     return targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate"))
 
 
+def own_ranks(targets: DataFrame, key: str, dna: str) -> DataFrame:
+    """key, ranks: for each target the rank of every codon in the usage of its own sequence, as a map."""
+    usage = codon_usage.usage_per_sequence(targets, key, dna)
+    order = Window.partitionBy(key, "amino_acid").orderBy(F.col("w_i").desc(), "codon")
+    ranked = usage.select(key, "codon", (F.row_number().over(order) - 1).alias("rank"))
+    return ranked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("codon", "rank"))).alias("ranks"))
+
+
 def harmonized(
-    dna: Column, source: dict[str, float], host: dict[str, float], seed: Column, noise: float = 0.1
+    dna: Column, source: dict[str, float] | Column, host: dict[str, float], seed: Column, noise: float = 0.1
 ) -> Column:
-    """Each codon replaced by the host's codon of the same rank; with probability ``noise`` drawn by w_i."""
-    host_ranked, source_ranked = ranked_codons(host), ranked_codons(source)
-    same = {}
-    for aa, family in source_ranked.items():
-        for rank, c in enumerate(family):
-            same[c] = host_ranked[aa][min(rank, len(host_ranked[aa]) - 1)]
+    """Each codon replaced by the host's codon of the same rank; with probability ``noise`` drawn by w_i.
+
+    ``source``: the w_i of the sequences' own genome, or a column that maps
+    codons to their ranks. A codon that it doesn't hold has rank 0, one of a
+    rank beyond the host's family gets the family's last.
+    """
+    host_ranked = ranked_codons(host)
+    if isinstance(source, dict):
+        ranks = {c: float(rank) for family in ranked_codons(source).values() for rank, c in enumerate(family)}
+
+        def rank(codon: Column) -> Column:
+            return seq.by_codon(ranks, codon).cast("int")
+
+    else:
+
+        def rank(codon: Column) -> Column:
+            return F.try_element_at(source, codon)
+
+    families = seq.literal_map_of_arrays(host_ranked)
     draws = _draw_table(host, 1.0)
     body = F.regexp_replace(F.upper(dna), "(TAA|TAG|TGA)$", "")
     drawn = F.transform(seq.codons(body), lambda c, i: F.struct(
@@ -111,9 +133,12 @@ def harmonized(
         seq.hash_uniform(seed, i.cast("string")).alias("u")))
 
     def pick(d: Column) -> Column:
-        options = F.try_element_at(draws, seq.by_codon(seq.CODE, d["codon"]))
+        aa = seq.by_codon(seq.CODE, d["codon"])
+        options = F.try_element_at(draws, aa)
         other = F.element_at(F.filter(options, lambda o: d["u"] < o["to"]), 1)["codon"]
-        return F.when(d["chance"] < noise, other).otherwise(seq.by_codon(same, d["codon"]))
+        family = F.try_element_at(families, aa)
+        same = F.get(family, F.least(F.coalesce(rank(d["codon"]), F.lit(0)), F.size(family) - 1))
+        return F.when(d["chance"] < noise, other).otherwise(same)
 
     return F.concat(F.array_join(F.transform(drawn, pick), ""), F.lit(seq.STOP_CODON))
 

@@ -16,6 +16,7 @@ from strandloom.sources import readers, sinks
 from strandloom.workspace import keep
 
 MODES = ("max_cai", "weighted", "harmonized")
+SOURCE_MIN_LENGTH = 300  # shorter sequences of a source genome aren't counted
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,9 @@ def run(
 
     ``targets``: target_idx, header, protein_seq, original_dna. With an
     expression table (locus_tag, RPKM_average) the most expressed genes are the
-    reference, else housekeeping genes. Raises if no gene is valid, under 10 %
+    reference, else housekeeping genes. Harmonized designs match the codons'
+    ranks in ``source_cds``, or else in each target itself, and need targets with
+    DNA. Raises if no gene is valid, under 10 %
     of the expression table's tags match, or a design's protein has changed.
     """
     genes = keep(cu.valid_cds(cds), "genes")
@@ -84,8 +87,16 @@ def run(
     elif settings.mode == "weighted":
         dna = design.weighted(F.col("protein_seq"), weight, seed, settings.temperature, settings.n_terminal)
     else:
-        source = cu.weights(cu.codon_usage(cu.valid_cds(source_cds))) if source_cds is not None else weight
-        tried = tried.where("original_dna is not null")
+        if not sound.where("original_dna is null").isEmpty():
+            raise ValueError("harmonized designs need coding sequences, but a target is a protein")
+        if source_cds is not None:
+            own = keep(cu.valid_cds(source_cds).where(F.length("nucleotide_seq") >= SOURCE_MIN_LENGTH), "source")
+            if own.isEmpty():
+                raise ValueError(f"no coding sequence of the source genome has {SOURCE_MIN_LENGTH} bases or more")
+            source = cu.weights(cu.codon_usage(own))
+        else:  # each target's own usage stands for its genome's
+            tried = tried.join(design.own_ranks(sound, "target_idx", "original_dna"), "target_idx")
+            source = F.col("ranks")
         dna = design.harmonized(F.col("original_dna"), source, weight, seed, settings.noise)
     drawn = keep(tried.select("target_idx", "header", "protein_seq", "candidate", dna.alias("dna_sequence")), "drawn")
     key = F.concat_ws(":", "target_idx", "candidate")

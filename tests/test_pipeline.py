@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
+from strandloom.operators import design
 from strandloom.plans import pipeline
 from strandloom.sources import readers, sinks
 from strandloom.streaming.scoring import scored_stream, windowed_counts
@@ -81,6 +82,10 @@ def test_run(spark, genome, tmp_path, mode):
         "target_idx int, header string, protein_seq string, original_dna string",
     )
     rule = pipeline.selection.Selection(min_length=300, fallback_genes=5)
+    if mode == "harmonized":
+        with pytest.raises(ValueError, match="protein"):
+            pipeline.run(cds, targets, pipeline.Settings(mode=mode, n_variants=2, selection=rule))
+        targets = targets.where("target_idx = 1")
     result = pipeline.run(cds, targets, pipeline.Settings(mode=mode, n_variants=2, selection=rule))
     rows = result.variants.collect()
     assert result.usage.count() == 64 and {r["variant_number"] for r in rows} <= {1, 2}
@@ -118,4 +123,18 @@ def test_streams(spark, tmp_path):
     q = windowed_counts(stream, "t", "k").writeStream.format("memory").queryName("counts").outputMode("append").trigger(
         availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.table("counts").count() >= 0
+    counts = {r["k"]: r["n"] for r in spark.table("counts").collect()}
+    assert counts == {"a": 1}  # the window of the latest row is still open
+
+
+def test_harmonized_ranks_of_the_sequence_itself_and_of_another_genome(spark):
+    # leucine: CTG most, then TTA, then CTC
+    dna = "CTG" * 3 + "TTA" * 2 + "CTC" + "TAA"
+    df = spark.createDataFrame([(1, dna)], "k int, d string")
+    host = {c: 0.01 for c in seq.CODE} | {"TTG": 1.0, "CTA": 0.5, "CTT": 0.25}
+    own = design.own_ranks(df, "k", "d")
+    made = df.join(own, "k").select(design.harmonized(F.col("d"), F.col("ranks"), host, F.lit("s"), 0.0)).first()[0]
+    assert made == "TTG" * 3 + "CTA" * 2 + "CTT" + "TAA"
+    source = {c: 0.01 for c in seq.CODE} | {"CTC": 1.0, "CTG": 0.5, "TTA": 0.25}
+    made = df.select(design.harmonized(F.col("d"), source, host, F.lit("s"), 0.0)).first()[0]
+    assert made == "CTA" * 3 + "CTT" * 2 + "TTG" + "TAA"
