@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
-from dataclasses import dataclass, field
+import tomllib
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators import codon_usage as cu
-from strandloom.operators import design, metrics, motifs, selection
+from strandloom.operators import design, metrics, motifs, qc, selection
 from strandloom.sources import readers, sinks
 from strandloom.workspace import keep
 
@@ -31,6 +33,7 @@ class Settings:
     repair: bool = True
     selection: selection.Selection = field(default_factory=selection.Selection)
     scoring: metrics.Scoring = field(default_factory=metrics.Scoring)
+    limits: qc.Limits = field(default_factory=qc.Limits)
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -39,11 +42,41 @@ class Settings:
             raise ValueError("n_variants and oversample must be at least 1")
 
 
+def merged(base: dict, over: dict) -> dict:
+    """``base`` with the entries of ``over``; dictionaries are merged at every level, all else is replaced."""
+    both = dict(base)
+    for k, v in over.items():
+        both[k] = merged(both[k], v) if isinstance(v, dict) and isinstance(both.get(k), dict) else v
+    return both
+
+
+def settings_from(values: dict) -> Settings:
+    """Settings from nested values (as in a settings file) laid over the defaults; unknown names are errors."""
+    whole = merged(asdict(Settings()), values)
+    try:
+        whole["selection"] = selection.Selection(**whole["selection"])
+        whole["scoring"] = metrics.Scoring(**whole["scoring"])
+        whole["limits"] = qc.Limits(**whole["limits"])
+        return Settings(**whole)
+    except TypeError as e:
+        raise ValueError(f"settings: {e}") from None
+
+
+def read_settings(path: str) -> dict:
+    """The values of a .toml or .json settings file."""
+    with open(path, "rb") as f:
+        return json.load(f) if path.lower().endswith(".json") else tomllib.load(f)
+
+
 @dataclass
 class Result:
+    """``comparison``: the codons of DNA targets and their designs; ``unresolved``: the motif hits left in designs."""
+
     usage: DataFrame
     variants: DataFrame
     report: DataFrame
+    comparison: DataFrame
+    unresolved: DataFrame
 
 
 def run(
@@ -53,7 +86,7 @@ def run(
     expression: DataFrame | None = None,
     source_cds: DataFrame | None = None,
 ) -> Result:
-    """Usage table, ranked variants and one report row per target.
+    """Usage table, ranked variants, one report row per target, compared codons and hits left.
 
     ``targets``: target_idx, header, protein_seq, original_dna. With an
     expression table (locus_tag, RPKM_average) the most expressed genes are the
@@ -123,13 +156,30 @@ def run(
     ranks = metrics.ranked_variants(scored, settings.n_variants).select("target_idx", "variant_number", "rank")
     variants = scored.join(ranks, ["target_idx", "variant_number"]).drop("item", "variant_number", "candidate")
     variants = variants.withColumnRenamed("rank", "variant_number")
+    variants = keep(variants, "variants")
     best = variants.where("variant_number = 1")
-    report = best.select(
-        "target_idx", sinks.file_stem(F.col("header")).alias("sequence_name"), "mode", "cai_score", "gc_content",
-        "composite_score", F.array_join(F.coalesce("forbidden_hits", F.array().cast("array<string>")), ", ").alias("motifs"),
-        "dna_sequence",
+    checked = qc.qc_summary(best, "target_idx", "dna_sequence", "has_strong_structure", settings.limits)
+    given = targets.select(
+        "target_idx", "original_dna", F.length(design.clean_protein(F.col("protein_seq"))).alias("length_aa"),
+        metrics.cai(F.col("original_dna"), weight).alias("original_cai"), seq.gc_content(F.col("original_dna")).alias("original_gc"),
+    )
+    counts = variants.groupBy("target_idx").agg(F.count("*").alias("n_variants"))
+    joined = best.drop("original_dna").join(given, "target_idx").join(counts, "target_idx").join(checked, "target_idx", "left")
+    names = F.coalesce("forbidden_hits", F.array().cast("array<string>"))
+    report = joined.select(
+        "target_idx", sinks.file_stem(F.col("header")).alias("sequence_name"),
+        F.when(F.col("original_dna").isNull(), "protein").otherwise("dna").alias("input_type"), "length_aa", "n_variants",
+        "original_cai", F.col("cai_score").alias("recommended_cai"), (F.col("cai_score") - F.col("original_cai")).alias("cai_improvement"),
+        "original_gc", F.col("gc_content").alias("recommended_gc"), F.lit(host_gc).alias("host_gc"),
+        F.col("n_homopolymers").alias("homopolymer_count"), F.col("n_repeats").alias("repeat_count"),
+        F.lit(None).cast("double").alias("mfe_5prime"), "has_strong_structure",
+        F.coalesce("n_hits", F.lit(0)).alias("forbidden_motif_count"), F.array_join(names, ", ").alias("forbidden_motifs"),
+        "composite_score", F.col("mode").alias("optimization_mode"), "qc_pass",
     )
-    return Result(usage, variants, report)
+    pairs = best.select("target_idx", "dna_sequence").join(targets.select("target_idx", "original_dna"), "target_idx")
+    comparison = metrics.compared_codons(pairs, "target_idx", "original_dna", "dna_sequence", weight)
+    unresolved = motifs.motif_hits(best, "target_idx", "dna_sequence")
+    return Result(usage, variants, report, comparison, unresolved)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -138,13 +188,17 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--target", required=True, help="FASTA file of proteins or coding sequences")
     p.add_argument("--rnaseq", help="expression table (csv, tsv, txt, xlsx)")
     p.add_argument("--source-genome", help="GenBank file of the targets' own genome, for harmonized designs")
-    p.add_argument("--mode", choices=MODES, default="weighted")
-    p.add_argument("--variants", type=int, default=3)
+    p.add_argument("--config", help="settings file (.toml or .json), laid over the defaults")
+    p.add_argument("--mode", choices=MODES)
+    p.add_argument("--variants", type=int)
     p.add_argument("--output", default="output")
-    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--seed", type=int)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     try:
+        values = read_settings(a.config) if a.config else {}
+        flags = {"mode": a.mode, "n_variants": a.variants, "seed": a.seed}
+        settings = settings_from(values | {k: v for k, v in flags.items() if v is not None})
         given = readers.read_targets(spark, a.target)
         bad = given.where("problem is not null").limit(1).collect()
         if bad:
@@ -155,11 +209,14 @@ def main(argv: list[str] | None = None) -> int:
         if other is not None:
             other = other.withColumn("added_at", F.lit(None).cast("timestamp"))
         table = readers.read_expression(spark, a.rnaseq) if a.rnaseq else None
-        result = run(genome, targets, Settings(mode=a.mode, n_variants=a.variants, seed=a.seed), table, other)
+        result = run(genome, targets, settings, table, other)
         sinks.write_fasta(result.variants, f"{a.output}/designs_fasta")
         sinks.write_tsv(result.report, f"{a.output}/report_tsv")
-        sinks.write_tsv(result.usage, f"{a.output}/usage_tsv")
-        sinks.write_summary(result.usage, result.report.drop("dna_sequence"), f"{a.output}/summary_md")
+        sinks.write_recommended(result.variants, f"{a.output}/recommended_fasta")
+        sinks.write_tsv(result.comparison.orderBy("target_idx", "position"), f"{a.output}/comparison_tsv")
+        sinks.write_tsv(result.unresolved, f"{a.output}/unresolved_tsv")
+        sinks.write_tsv(result.usage.orderBy("amino_acid", F.col("w_i").desc(), "codon"), f"{a.output}/usage_tsv")
+        sinks.write_summary(result.usage, result.report, f"{a.output}/summary_md")
         print(f"{result.report.count()} targets designed; results in {a.output}")
     except (ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)

@@ -30,6 +30,12 @@ def write_fasta(designs: DataFrame, path: str) -> None:
     fasta_text(designs).write.mode("overwrite").text(path)
 
 
+def write_recommended(designs: DataFrame, path: str) -> None:
+    """The best design of every target, in the targets' order."""
+    best = designs.where("variant_number = 1").orderBy("target_idx")
+    fasta_text(best).write.mode("overwrite").text(path)
+
+
 def write_fasta_per_target(designs: DataFrame, path: str) -> None:
     """One folder per target, named by its header; targets with equal names share it."""
     named = designs.withColumn("stem", file_stem(F.col("header")))
@@ -43,12 +49,13 @@ def write_tsv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def write_summary(usage: DataFrame, report: DataFrame, path: str, limit: int = 1000) -> None:
-    """A Markdown summary; its table lists the first ``limit`` targets by number and says how many there are."""
-    n = report.count()
-    lines = ["# Designs", "", f"{n} targets; codons counted: {usage.agg(F.sum('count')).first()[0]}", ""]
-    rows = report.orderBy("target_idx").limit(limit).collect()
-    lines += ["| " + " | ".join(report.columns) + " |", "|" + " - |" * len(report.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
-    text = report.sparkSession.createDataFrame([("\n".join(lines),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(path)
+def write_summary(usage: DataFrame, report: DataFrame, path: str) -> None:
+    """A Markdown summary with a row for every target, in their order; its part files follow each other."""
+    total = report.agg(F.count("*").alias("n"), F.count_if("qc_pass").alias("passed")).first()
+    codons = usage.agg(F.sum("count")).first()[0]
+    head = ["# Designs", "", f"{total['n']} targets, {total['passed']} pass all checks; codons counted: {codons}", ""]
+    head += ["| " + " | ".join(report.columns) + " |", "|" + " - |" * len(report.columns)]
+    top = report.sparkSession.createDataFrame([("\n".join(head),)], "value string").select(F.lit(-1).alias("at"), "value")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns]
+    rows = report.select("target_idx", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    top.unionByName(rows.withColumnRenamed("target_idx", "at")).orderBy("at").select("value").write.mode("overwrite").text(path)

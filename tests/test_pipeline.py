@@ -95,6 +95,18 @@ def test_run(spark, genome, tmp_path, mode):
     back = {r["header"].split()[0]: r["sequence"] for r in readers.read_fasta(spark, str(tmp_path / "fa")).collect()}
     stem = {"p one": "p", "d/two": "d_two"}
     assert back == {f"{stem[r['header']]}_variant_{r['variant_number']}": r["dna_sequence"] for r in rows}
+    report = {r["target_idx"]: r for r in result.report.collect()}
+    assert len(result.report.columns) == 20 and set(report) == {r["target_idx"] for r in rows}
+    for r in report.values():
+        assert r["n_variants"] == sum(v["target_idx"] == r["target_idx"] for v in rows)
+        assert (r["original_cai"] is None) == (r["input_type"] == "protein")
+        if r["qc_pass"]:
+            assert r["homopolymer_count"] == r["repeat_count"] == 0
+    assert {r["target_idx"] for r in result.comparison.collect()} == {1}
+    assert result.unresolved.count() == sum(r["forbidden_motif_count"] for r in report.values())
+    sinks.write_recommended(result.variants, str(tmp_path / "best"))
+    best = [r["sequence"] for r in readers.read_fasta(spark, str(tmp_path / "best")).collect()]
+    assert best == [r["dna_sequence"] for r in sorted(rows, key=lambda r: r["target_idx"]) if r["variant_number"] == 1]
     sinks.write_tsv(result.report, str(tmp_path / "tsv"))
     sinks.write_summary(result.usage, result.report, str(tmp_path / "md"))
     sinks.write_fasta_per_target(result.variants, str(tmp_path / "each"))
@@ -138,3 +150,14 @@ def test_harmonized_ranks_of_the_sequence_itself_and_of_another_genome(spark):
     source = {c: 0.01 for c in seq.CODE} | {"CTC": 1.0, "CTG": 0.5, "TTA": 0.25}
     made = df.select(design.harmonized(F.col("d"), source, host, F.lit("s"), 0.0)).first()[0]
     assert made == "CTA" * 3 + "CTT" * 2 + "TTG" + "TAA"
+
+
+def test_settings_files(tmp_path):
+    (tmp_path / "s.toml").write_text('mode = "max_cai"\n[scoring]\ncai = 0.7\n[limits]\nmax_run = 9\n')
+    made = pipeline.settings_from(pipeline.read_settings(str(tmp_path / "s.toml")))
+    assert made.mode == "max_cai" and made.scoring.cai == 0.7 and made.scoring.gc == 0.3 and made.limits.max_run == 9
+    (tmp_path / "s.json").write_text('{"n_variants": 5, "selection": {"min_length": 1}}')
+    made = pipeline.settings_from(pipeline.read_settings(str(tmp_path / "s.json")))
+    assert made.n_variants == 5 and made.selection.min_length == 1 and made.mode == "weighted"
+    with pytest.raises(ValueError, match="settings"):
+        pipeline.settings_from({"scoring": {"unheard_of": 1}})
