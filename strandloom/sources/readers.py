@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators.parse_errors import plain_number
+from strandloom.workspace import ship_package
 
 #: Header names of an expression table, besides those that equal a column's name.
 EXPRESSION_ALIASES = {
@@ -139,6 +140,7 @@ def _extract(location: str, dna: str) -> str | None:
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """The coding sequences of GenBank records, in the columns of ``cds``; one record is one row of the text source."""
+    ship_package(spark)
     records = spark.read.text(path, lineSep="\n//").where("value rlike 'LOCUS'")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
