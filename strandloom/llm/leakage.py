@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from strandloom.llm import fingerprints as fp
 from strandloom.llm.letters import GRAM, NO_LETTER, SIZE, folded, grams, plain, stream, trigrams
 from strandloom.llm.runs import Lines, Passage, longest_run
-from strandloom.workspace import keep
+from strandloom.workspace import keep, ship_package
 
 #: Words in a row that make a leak, and the least weighted similarity of a page's window to a passage's.
 MIN_WORDS, MIN_SIMILARITY = 20, 0.5
@@ -313,6 +313,7 @@ def leaked_items(
     are what blanks separate, letters those of any alphabet. ``words`` is the
     longest run in any of the page's reading orders.
     """
+    ship_package(documents.sparkSession)
     none = F.lit(None).cast("array<int>")
     left = F.col(f"{boxes}.x0") if boxes else none
     pages = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), left.alias("left"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.tokens import FOLDER, VOCABULARY, token_counts
-from strandloom.workspace import keep
+from strandloom.workspace import keep, ship_package
 
 CAPACITY = 2048
 #: Items a lot has on average (one task packs one lot), rounds of pooling, and the room that makes a container pool.
@@ -80,6 +80,7 @@ def pack_items(
     items: DataFrame, key: str, capacity: int = CAPACITY, lot: int = LOT, rounds: int = ROUNDS
 ) -> DataFrame:
     """items: key, piece_no, first_token, tokens (below ``capacity``); adds container and room."""
+    ship_package(items.sparkSession)
     done: list[DataFrame] = []
     pool = items
     shape = items.schema.simpleString()[7:-1] + ",container:string,room:bigint"

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strandloom.workspace import ship_package
+
 FOLDER = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -37,6 +39,7 @@ def token_counts(documents: DataFrame, key: str, text: str, path: str = f"{FOLDE
         for b in batches:
             yield pd.DataFrame({key: b[key], "n_tokens": [len(encode(t)) if t else 0 for t in b["text"]]})
 
+    ship_package(documents.sparkSession)
     chosen = documents.selectExpr(f"`{key}`", f"`{text}` as text")
     kind = chosen.schema[key].dataType.simpleString()
     return chosen.mapInPandas(count, f"`{key}` {kind}, n_tokens bigint")
