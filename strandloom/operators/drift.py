@@ -8,7 +8,9 @@ ends are the changes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 from strandloom.operators.parse_errors import alias_keys, field_key, plain_number, trimmed
 
 MOST_ALIASES = 10_000  # names in an alias table that can become columns
-#: The SQL type of a field of each JSON type.
-SQL_TYPES = {"number": "double", "boolean": "boolean"}
 
 
 def _json_kind(value: Column) -> Column:
@@ -49,19 +49,26 @@ def cells(feed: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def catalogue(cell_rows: DataFrame) -> DataFrame:
-    """Footer metadata: source, file_name, field_name, key_name, json_type (null if only nulls)."""
+    """Footer metadata: source, file_name, field_name, key_name, json_type (null if only nulls), fraction.
+
+    ``fraction``: whether any number of the field isn't whole.
+    """
     counted = (
-        cell_rows.select("source", "file_name", "field_name", "key", _json_kind(F.col("value")).alias("json_type"))
+        cell_rows.select(
+            "source", "file_name", "field_name", "key", _json_kind(F.col("value")).alias("json_type"),
+            F.schema_of_variant("value").rlike("DOUBLE|FLOAT|DECIMAL").alias("fraction"),
+        )
         .groupBy("source", "file_name", "field_name", "key", "json_type")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.max("fraction").alias("fraction"))
     )
     per_type = counted.groupBy("source", "file_name", "field_name", "json_type").agg(
-        F.sum("n").alias("n_type"), F.max(F.struct("n", "key")).alias("top_key")
+        F.sum("n").alias("n_type"), F.max(F.struct("n", "key")).alias("top_key"), F.max("fraction").alias("fraction")
     )
     typed = F.col("json_type").isNotNull()
     return per_type.groupBy("source", "file_name", "field_name").agg(
         F.max_by("top_key", "top_key")["key"].alias("key_name"),
         F.max(F.when(typed, F.struct("n_type", "json_type")))["json_type"].alias("json_type"),
+        F.coalesce(F.max("fraction"), F.lit(False)).alias("fraction"),
     )
 
 
@@ -76,8 +83,19 @@ def file_order(feed: DataFrame) -> DataFrame:
 class Drift:
     changes: DataFrame
     lifespans: DataFrame
-    records: DataFrame
-    failed_casts: DataFrame
+    tables: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        return self.tables()  # the fields' types are read first, which only these two need
+
+    @property
+    def records(self) -> DataFrame:
+        return self._tables[0]
+
+    @property
+    def failed_casts(self) -> DataFrame:
+        return self._tables[1]
 
 
 def schema_drift(feed: DataFrame, aliases: DataFrame) -> Drift:
@@ -95,8 +113,9 @@ def schema_drift(feed: DataFrame, aliases: DataFrame) -> Drift:
     * failed_casts: source, file_name, rec_no, field_name, value: what a record
       holds but its column's type can't.
 
-    The columns' types come from the lifespans: a field is of the JSON type that
-    it had in most of the files (of equally many, the first by name). A record
+    The columns' types come from the catalogue: a field is of the JSON type that
+    it has in most files (of equally many, the first by name); whole numbers alone
+    may be codes and stay text. A record
     that isn't a JSON object has no fields, but its file counts. Keys without
     alias are fields under their normalised name in changes. The more frequent key (type) stands for a field's key
     (type) in a file, of equally frequent ones the last by name. A field with
@@ -163,22 +182,31 @@ def schema_drift(feed: DataFrame, aliases: DataFrame) -> Drift:
         F.count("*").alias("n_files"),
     )
     plain = F.col("source.source").alias("source")
-    records, failed = consistent_records(feed.withColumn("source", plain), aliases, lifespans)
     return Drift(
-        changes.withColumn("source", plain), lifespans.drop("run").withColumn("source", plain), records, failed
+        changes.withColumn("source", plain),
+        lifespans.drop("run").withColumn("source", plain),
+        lambda: consistent_records(feed.withColumn("source", plain), aliases, meta),
     )
 
 
-def field_types(lifespans: DataFrame) -> dict[str, str]:
-    """The SQL type of each field: of the JSON type that most files have; at most one row per field name is collected."""
-    typed = lifespans.where("json_type is not null").groupBy("field_name", "json_type").agg(F.sum("n_files").alias("n"))
-    rank = F.struct((-F.col("n")).alias("n"), "json_type")
-    chosen = typed.groupBy("field_name").agg(F.min(rank)["json_type"].alias("json_type")).limit(MOST_ALIASES)
-    return {r["field_name"]: SQL_TYPES.get(r["json_type"], "string") for r in chosen.collect()}
+def field_types(meta: DataFrame) -> dict[str, str]:
+    """The SQL type of each field, by the JSON type that most files give it; at most MOST_ALIASES rows are collected.
+
+    Whole numbers alone may be codes, so only a field with a fraction somewhere becomes a number.
+    """
+    typed = meta.where("json_type is not null").groupBy("field_name", "json_type").agg(
+        F.count("*").alias("n"), F.max("fraction").alias("fraction")
+    )
+    rank = F.struct((-F.col("n")).alias("n"), "json_type", "fraction")
+    chosen = typed.groupBy("field_name").agg(F.min(rank).alias("r")).limit(MOST_ALIASES)
+    return {
+        r["field_name"]: "double" if r["json_type"] == "number" and r["fraction"] else "boolean" if r["json_type"] == "boolean" else "string"
+        for r in chosen.select("field_name", "r.json_type", "r.fraction").collect()
+    }
 
 
-def consistent_records(feed: DataFrame, aliases: DataFrame, lifespans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All records, as delivered, in one schema generated from the alias table and the lifespans; and what it can't hold.
+def consistent_records(feed: DataFrame, aliases: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All records, as delivered, in one schema generated from the alias table and the catalogue; and what it can't hold.
 
     Raises if the alias table has more than MOST_ALIASES names.
     """
@@ -189,7 +217,7 @@ def consistent_records(feed: DataFrame, aliases: DataFrame, lifespans: DataFrame
     if known:
         names = F.create_map(*[F.lit(x) for r in known for x in (r["field_key"], r["canonical"])])
     canonical = sorted({r["canonical"] for r in known})
-    types = field_types(lifespans.join(F.broadcast(aliases.select(F.col("canonical").alias("field_name")).distinct()), "field_name"))
+    types = field_types(meta.join(aliases.select(F.col("canonical").alias("field_name")).distinct(), "field_name"))
     fields = F.from_json("record", "map<string,variant>")
     entries = F.transform(
         F.map_entries(fields),

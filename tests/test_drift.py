@@ -64,3 +64,14 @@ def test_two_sources_ties_and_empty(spark, aliases):
     assert {r["file_name"] for r in found.collect()} == {"b"}
     empty = schema_drift(spark.createDataFrame([], SCHEMA), aliases)
     assert empty.changes.count() == 0 and empty.records.count() == 0 and empty.lifespans.count() == 0
+
+
+def test_rest_failed_casts_and_null_sources(spark, aliases):
+    files = [("a", [{"locus_tag": "x", "RPKM_rep1": 1.5, "new": 1}]), ("b", [{"gene_id": "y", "locus_tag": "z", "RPKM_rep1": "none"}])]
+    found = schema_drift(feed(spark, files, None), aliases)
+    # of two keys of one field, each once in the file, the last by name stands for it
+    assert {tuple(r) for r in found.changes.collect()} == {(None, "b", "new", "removed"), (None, "b", "RPKM_rep1", "retyped")}
+    rows = {r["file_name"]: r for r in found.records.collect()}
+    assert rows["a"]["rest"] == {"new": "1"} and rows["a"]["RPKM_rep1"] == 1.5
+    assert rows["b"]["RPKM_rep1"] is None and {rows["b"]["locus_tag"], *rows["b"]["rest"].values()} == {"y", "z"}
+    assert [tuple(r) for r in found.failed_casts.collect()] == [(None, "b", 0, "RPKM_rep1", "none")]
