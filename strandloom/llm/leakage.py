@@ -318,6 +318,9 @@ def leaked_items(
     left = F.col(f"{boxes}.x0") if boxes else none
     pages = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), left.alias("left"))
     pages = pages.where("text is not null and text <> ''")
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < cores:  # a few files of much work each
+        pages = pages.repartition(4 * cores)
     tests = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("passage")).where("passage is not null")
     tests = keep(tests.distinct(), "tests")
 
