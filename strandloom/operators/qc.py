@@ -153,17 +153,31 @@ def repeats(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits())
 def stems(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
     """key, arm_start, partner_start, arm: k-mers of the 5' end whose reverse complement follows after a loop.
 
-    A structure measure by sequence alone; it is no folding energy.
+    A structure measure by sequence alone; it is no folding energy. All is
+    compared inside a row; no k-mer is shuffled.
     """
     k = limits.stem
     heads = sequences.select(key, F.upper(F.substring(dna, 1, limits.five_prime)).alias("head"))
-    at = F.sequence(F.lit(0), F.length("head") - k)
-    kmers = F.transform(at, lambda i: F.substring(F.col("head"), i + 1, F.lit(k)))
     long = heads.where(F.length("head") >= 2 * k + limits.loop)
-    places = long.select(key, F.posexplode(kmers).alias("at", "arm"))
-    partners = places.select(key, F.col("at").alias("partner_start"), seq.reverse_complement(F.col("arm")).alias("arm"))
-    pairs = places.join(partners, [key, "arm"]).where(F.col("partner_start") >= F.col("at") + k + limits.loop)
-    return pairs.select(key, F.col("at").alias("arm_start"), "partner_start", "arm")
+    every = F.lit(f"(?s)(?=(.{{{k}}}))")  # all k-mers by one scan; an expression inside a lambda is computed for each
+    arms = long.select(
+        key,
+        F.regexp_extract_all("head", every, F.lit(1)).alias("arms"),
+        F.regexp_extract_all(seq.reverse_complement(F.col("head")), every, F.lit(1)).alias("turned"),
+    )
+    # few k-mers have a complement in their head; the array of one makes the lambda's argument computed once
+    placed = F.transform("arms", lambda x, i: F.struct(i.alias("at"), x.alias("arm")))
+    some = F.transform(
+        F.array(F.array_intersect("arms", "turned")),
+        lambda shared: F.filter(placed, lambda x: F.array_contains(shared, x["arm"])),
+    )
+    places = arms.select(key, some[0].alias("places")).select(key, "places", F.explode("places").alias("x"))
+    partner = F.filter(
+        "places",
+        lambda y: (y["at"] >= F.col("x.at") + k + limits.loop) & (y["arm"] == seq.reverse_complement(F.col("x.arm"))),
+    )
+    pairs = places.select(key, "x", F.explode(partner).alias("y"))
+    return pairs.select(key, F.col("x.at").alias("arm_start"), F.col("y.at").alias("partner_start"), F.col("x.arm").alias("arm"))
 
 
 def stem_codons(pairs: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:

@@ -118,3 +118,20 @@ def test_quality(spark):
     assert {r["kmer"]: (r["first_at"], r["second_at"]) for r in qc.repeats(again, "k", "s").collect()}["ATGATGATGATG"] == (0, 22)
     arms = spark.createDataFrame([("s", "GGCCAATTTTTTGGCC"), ("t", "A" * 40)], "k string, s string")
     assert {r["k"] for r in qc.stems(arms, "k", "s", qc.Limits(stem=4)).collect()} == {"s"}
+
+
+def test_stems_stay_in_their_row(spark):
+    rng = random.Random(12)
+    genes = ["".join(rng.choice("ACGT") for _ in range(rng.choice([14, 15, 90, 200]))) for _ in range(60)]
+    genes += ["gaattc" * 30, "A" * 150 + "T" * 9, "ACGTNN" * 9, "", None, genes[0]]
+    df = spark.createDataFrame([(i // 2, g) for i, g in enumerate(genes)], "k int, s string")  # two rows a key
+    found = qc.stems(df, "k", "s")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    wanted = []
+    for i, g in enumerate(genes):
+        head = (g or "").upper()[:150]
+        arms = [head[j : j + 6] for j in range(len(head) - 5)]
+        turned = [a[::-1].translate(str.maketrans("ACGT", "TGCA")) for a in arms]
+        wanted += [(i // 2, a, b, arms[a]) for a in range(len(arms)) for b in range(a + 9, len(arms)) if arms[a] == turned[b]]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
