@@ -135,3 +135,12 @@ def test_stems_stay_in_their_row(spark):
         turned = [a[::-1].translate(str.maketrans("ACGT", "TGCA")) for a in arms]
         wanted += [(i // 2, a, b, arms[a]) for a in range(len(arms)) for b in range(a + 9, len(arms)) if arms[a] == turned[b]]
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_stem_codons_without_a_join(spark):
+    genes = ["GAATTC" * 30, "GGCCAATTTTTTGGCC" * 3, "A" * 60]
+    stems = qc.stems(spark.createDataFrame(list(enumerate(genes)), "k int, s string"), "k", "s")
+    found = qc.stem_codons(stems, "k")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    touched = {(r.k, s // 3 + d) for r in stems.collect() for s in (r.arm_start, r.partner_start) for d in range((s % 3 + 5) // 3 + 1)}
+    assert touched and sorted(map(tuple, found.collect())) == sorted(x for x in touched if x[1])
