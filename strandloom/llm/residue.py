@@ -39,10 +39,9 @@ COVERED = {"template": 9, "filler": 28, "notice": 20}
 #: The weight of a contrast example in the model of natural prose, as a share of its counts.
 CONTRAST_SHARE = 3e-2
 
-#: Characters of all pages whose contexts are sampled for the first model.
-SAMPLED = 4_000_000
-
 _CHUNK = 1_000_000
+#: Windows that a worker sorts at a time; windows that share a bucket, if more than BUCKETS aren't needed for that.
+_SORTED, _IN_BUCKET, _BUCKETS = 4_000_000, 250_000, 4_096
 _GAP = "\0"
 _PAD = " " * 6  # around each text, so that windows wider than a short text still fit
 
@@ -96,39 +95,101 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, str]]:
             first, part, size = i + 1, [], 0
 
 
+#: A window of an n-gram and its context has 3 * GRAM letters, a number just beyond 64 bits: windows whose first letter is
+#: in the classes' upper half are kept apart, as if it were the one in the lower half.
+_HALF = CLASSES // 2
+_SIZE = np.uint64(CLASSES**GRAM)
+
+
+def _windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The 3 * GRAM letters at every character as a number and half; none that cross a gap."""
+    code, crosses = _grams(text)
+    n = max(len(code) - 2 * GRAM, 0)
+    inside = ~(crosses[:n] | crosses[GRAM : n + GRAM] | crosses[2 * GRAM : n + 2 * GRAM])
+    first, middle, last = (code[k : n + k][inside] for k in (0, GRAM, 2 * GRAM))
+    upper = first >= _HALF * CLASSES ** (GRAM - 1)
+    number = np.where(upper, first - _HALF * CLASSES ** (GRAM - 1), first).astype(np.uint64)
+    return (number * _SIZE + middle.astype(np.uint64)) * _SIZE + last.astype(np.uint64), upper
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=~numbers[:1]) != 0]
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, all first bytes before all second ones, which a shuffle compresses well."""
+    return np.ascontiguousarray(np.diff(numbers, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    bytes_ = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T)
+    return np.cumsum(bytes_.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def context_counts(pages: DataFrame) -> np.ndarray:
     """In how many contexts each character n-gram occurs, to its left or its right, whichever are fewer.
 
     A repeated text gives its n-grams one context on one side at least, however
-    often it stands. Contexts are two n-grams wide, and sampled by their hash.
+    often it stands. Contexts are two n-grams wide. All windows of an n-gram and
+    its context are compared, exactly: those that begin alike meet in a bucket, where each counts once.
     """
     chars = pages.agg(F.sum(F.length("text"))).first()[0] or 0
-    one_of = np.uint64(max(1, chars // SAMPLED))
-    factors = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    buckets = max(1, min(chars // _IN_BUCKET, _BUCKETS), chars // (40 * _IN_BUCKET))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pieces(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        numbers, upper = (np.concatenate(x) for x in zip(*found))
+        for half in (0, 1):
+            own = _distinct(numbers[upper == half])
+            bucket = (own // _SIZE) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            bucket = (bucket % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            own, bucket = own[order], bucket[order]
+            begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+            parts = [_packed(own[i:j]) for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(own)])]
+            yield pd.DataFrame({"bucket": bucket[begin] * 2 + half, "windows": parts})
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = [], 0
         for b in batches:
             for _, text in _chunks(b["text"].tolist()):
-                code, crosses = _grams(text)
-                n = len(code) - 2 * GRAM
-                if n <= 0:
-                    continue
-                inside = ~(crosses[:n] | crosses[GRAM : n + GRAM] | crosses[2 * GRAM :])
-                parts = [code[k : n + k].astype(np.uint64) for k in (0, GRAM, 2 * GRAM)]
-                context = parts[0] * factors[0]
-                for x, f in zip(parts[1:], factors[1:]):
-                    context = (context ^ (context >> np.uint64(29)) ^ x) * f
-                context ^= context >> np.uint64(32)
-                drawn = np.flatnonzero(inside & (context % one_of == 0))
-                drawn = drawn[np.unique(context[drawn], return_index=True)[1]]
-                first, last = code[drawn], code[drawn + 2 * GRAM]
-                yield pd.DataFrame({"context": context[drawn].view(np.int64), "first": first, "last": last})
-
-    distinct = pages.select("text").mapInPandas(contexts, "context bigint, first int, last int").distinct()
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("gram")), F.struct(F.lit(1).alias("side"), F.col("last").alias("gram")))
-    found = distinct.select(F.explode(ends).alias("e")).groupBy("e.side", "e.gram").count().toPandas()
+                found.append(_windows(text))
+                size += len(found[-1][0])
+                if size >= _SORTED:
+                    yield from pieces(found)
+                    found, size = [], 0
+        if size:
+            yield from pieces(found)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, CLASSES**GRAM), dtype=np.int64)
+
+        def add(bucket: int, parts: list[bytes]) -> None:
+            windows = _distinct(np.concatenate([_unpacked(x) for x in parts]))
+            first = (windows // (_SIZE * _SIZE)).astype(np.int64) + bucket % 2 * _HALF * CLASSES ** (GRAM - 1)
+            for side, gram in ((0, first), (1, (windows % _SIZE).astype(np.int64))):
+                seen, n = np.unique(gram, return_counts=True)
+                total[side, seen] += n
+
+        now, parts = -1, []
+        for b in batches:  # sorted by bucket
+            for bucket, windows in zip(b["bucket"].tolist(), b["windows"]):
+                if bucket != now and parts:
+                    add(now, parts)
+                    parts = []
+                now = bucket
+                parts.append(windows)
+        if parts:
+            add(now, parts)
+        side, gram = np.nonzero(total)
+        yield pd.DataFrame({"side": side, "gram": gram, "n": total[side, gram]})
+
+    packed = pages.select("text").mapInPandas(gather, "bucket int, windows binary")
+    met = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(count, "side int, gram int, n bigint")
+    found = met.groupBy("side", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * CLASSES ** GRAM rows
     counts = np.zeros((2, CLASSES**GRAM), dtype=np.int64)
-    counts[found["side"].to_numpy(dtype=np.int64), found["gram"].to_numpy(dtype=np.int64)] = found["count"].to_numpy()
+    counts[found["side"].to_numpy(dtype=np.int64), found["gram"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
     return counts.min(axis=0)
 
 

@@ -97,3 +97,24 @@ def test_residue_on_a_third_of_pages_is_found(spark, data):
     assert all((r[0], "filler") in got for r in rows if r[0] >= 10_000)
     natural = [r[0] for r in rows if r[0] < 10_000 and r[0] % 3]
     assert len({i for i, _ in got} & set(natural)) < 0.08 * len(natural)
+
+
+def test_every_context_counts(spark):
+    """More text than any sample of it would hold: the counts are those of all windows."""
+    rng = np.random.default_rng(4)
+    drawn = rng.choice(np.array(list("etaoin{z ")), size=8_200_000).astype("U1")
+    rows = ["".join(drawn[i : i + 41_000]) for i in range(0, len(drawn), 41_000)]
+    rows += ["click here to subscribe"] * 500 + ["", "a"]
+    df = spark.createDataFrame(pd.DataFrame({"text": rows})).repartition(7)
+    found = residue.context_counts(df)
+    codes = [residue._grams(f"{residue._PAD}{t}{residue._PAD}")[0].astype(np.uint64) for t in rows]
+    size, n = np.uint64(len(found)), 2 * residue.GRAM
+    ends = np.concatenate([c[:-n] * size + c[n:] for c in codes])
+    middle = np.concatenate([c[residue.GRAM : -residue.GRAM] for c in codes])
+    order = np.lexsort((middle, ends))
+    ends, middle = ends[order], middle[order]
+    ends = ends[np.concatenate(([True], (np.diff(ends) != 0) | (np.diff(middle) != 0)))]
+    sides = [np.bincount(x.astype(np.int64), minlength=len(found)) for x in (ends // size, ends % size)]
+    assert (found == np.minimum(*sides)).all() and found.sum() > 2_000_000
+    here = residue._grams("click here to subscribe")[0]
+    assert np.median(found[here]) == 1
