@@ -276,7 +276,8 @@ def _measured(pages: DataFrame, texts: list[str], weight: np.ndarray, min_words:
                 near = index.promising(orders[row], pairs[i:j, 1].tolist())
                 lines = [Lines(plain(x).split("\n")) for x in orders[row]] if near else []
                 for k in near:
-                    n = max(longest_run(index.passages[k], x, min_words) for x in lines)
+                    known: dict[tuple, list[tuple]] = {}
+                    n = max(longest_run(index.passages[k], x, min_words, known) for x in lines)
                     if n >= min_words:
                         rows.append(row)
                         numbers.append(k)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 
-from strandloom.llm.letters import EXPLAINED, GRAM, folded, grams, plain
+from strandloom.llm.letters import EXPLAINED, GRAM, NO_LETTER, folded, grams, plain
 
 #: Letters by which rough placements may be off, and beyond a rough placement that are compared.
 SLACK, MARGIN = 4, 40
@@ -90,12 +88,67 @@ def _reading(a: str, b: str, first: bool, last: bool) -> tuple[int, int, bool] |
     return None
 
 
+def _opcodes(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
+    """What difflib's SequenceMatcher(None, a, b, autojunk=False).get_opcodes() gives.
+
+    Which letters are equal stands in one number, a row of bits for each letter
+    of ``a``: shifted by a row and a bit, it shows all diagonals at once.
+    """
+    if not a or not b:
+        return [("delete", 0, len(a), 0, 0)] if a else [("insert", 0, 0, 0, len(b))] if b else []
+    width = len(b) // 8 + 1  # bytes of a row; one bit at least stays free, so that no diagonal runs on in another row
+    at: dict[str, int] = dict.fromkeys(a, 0)
+    for j, c in enumerate(b):
+        if c in at:
+            at[c] |= 1 << j
+    of = {c: x.to_bytes(width, "little") for c, x in at.items()}
+    rows = b"".join([of[c] for c in a])
+    step = 8 * width + 1
+    blocks, queue = [], [(0, len(a), 0, len(b))]
+    while queue:
+        alo, ahi, blo, bhi = queue.pop()
+        equal = int.from_bytes(rows[alo * width : ahi * width], "little")
+        if blo or bhi < len(b):
+            equal &= int.from_bytes(((1 << bhi) - (1 << blo)).to_bytes(width, "little") * (ahi - alo), "little")
+        if not equal:
+            continue
+        runs, size = [equal], 1  # where 1, 2, 4, ... letters in a row are equal
+        while longer := runs[-1] & (runs[-1] >> (size * step)):
+            runs.append(longer)
+            size *= 2
+        longest = runs.pop()
+        while runs:
+            more = runs.pop()
+            if longer := longest & (more >> (size * step)):
+                longest = longer
+                size += 1 << len(runs)
+        i, j = divmod((longest & -longest).bit_length() - 1, 8 * width)
+        i += alo
+        blocks.append((i, j, size))
+        if alo < i and blo < j:
+            queue.append((alo, i, blo, j))
+        if i + size < ahi and j + size < bhi:
+            queue.append((i + size, ahi, j + size, bhi))
+    blocks.sort()
+    ops: list[tuple[str, int, int, int, int]] = []
+    i = j = 0
+    for x, y, size in [*blocks, (len(a), len(b), 0)]:
+        if i < x or j < y:
+            ops.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        if size and ops and ops[-1][0] == "equal":  # blocks that touch are one
+            ops[-1] = ("equal", ops[-1][1], x + size, ops[-1][3], y + size)
+        elif size:
+            ops.append(("equal", x, x + size, y, y + size))
+        i, j = x + size, y + size
+    return ops
+
+
 def _fragments(letters: str, start: int, stop: int, line: str, number: int) -> list[_Fragment]:
     part = letters[start:stop]
     exact = part.find(line)
     if exact >= 0:
         return [_Fragment(number, start + exact, start + exact + len(line), True, True, frozenset())]
-    ops = SequenceMatcher(None, part, line, autojunk=False).get_opcodes()
+    ops = _opcodes(part, line)
     found: list[_Fragment] = []
     lo = hi = None
     weak: set[int] = set()
@@ -139,19 +192,26 @@ def _fragments(letters: str, start: int, stop: int, line: str, number: int) -> l
     return found
 
 
-def longest_run(passage: Passage, lines: Lines, wanted: int = 1) -> int:
+def longest_run(passage: Passage, lines: Lines, wanted: int = 1, known: dict[tuple, list[tuple]] | None = None) -> int:
     """How many consecutive words of the passage stand in the lines; 0 if too few shingles agree for ``wanted`` words.
 
     Each line is laid where most of its letter shingles agree with the passage.
     A run goes on within a line, or from the end of one line to the start of a
     later one that takes up where it ended; the lines between, however many, are
     foreign and don't interrupt. Words count if all their letters are read, rightly or with
-    known misreadings; longer words may have one or two unknown ones.
+    known misreadings; longer words may have one or two unknown ones. ``known``
+    keeps what is found of each line, for the same lines in other orders.
     """
     if passage.least is None:
         return 0
+    known = {} if known is None else known
     placed = _rough_runs(passage, lines, *_placements(passage, lines), wanted)
-    pieces = [f for place in placed for f in _laid(passage.letters, place, lines.text[place[0]])]
+    pieces = []
+    for number, *at in placed:
+        key = (*at, lines.text[number])
+        if key not in known:
+            known[key] = _laid(passage.letters, *key)
+        pieces += [_Fragment(number, *f) for f in known[key]]
     pieces.sort(key=lambda f: (f.line, f.lo))
     best = 0
     # By where they end, the pieces so far that reach the end of their line: those from which runs start ever
@@ -186,15 +246,11 @@ def longest_run(passage: Passage, lines: Lines, wanted: int = 1) -> int:
     return best
 
 
-def _laid(letters: str, place: tuple[int, int, int, int], line: str) -> list[_Fragment]:
+def _laid(letters: str, lo: int, hi: int, at: int, line: str) -> list[tuple[int, int, bool, bool, frozenset[int]]]:
     """The fragments of a line where it was laid; of a very long line only the part by the passage is compared."""
-    number, lo, hi, at = place
     first, last = max(0, at - MARGIN), min(len(line), at + hi - lo + MARGIN)
-    found = _fragments(letters, max(0, lo - 3), min(len(letters), hi + 4), line[first:last], number)
-    for f in found:
-        f.from_start &= first == 0
-        f.to_end &= last == len(line)
-    return found
+    found = _fragments(letters, max(0, lo - 3), min(len(letters), hi + 4), line[first:last], 0)
+    return [(f.lo, f.hi, f.from_start and first == 0, f.to_end and last == len(line), f.weak) for f in found]
 
 
 def _follows(letters: str, p: _Fragment, f: _Fragment, lines: Lines, short: dict[tuple[int, int], list[int]]) -> bool:
@@ -337,19 +393,21 @@ def _rough_runs(
     number, lo, hi, _ = placed
     n = len(lo)
     # letters of each placement that agree in place, or two in a row up to two letters off, and the words that can't be read
-    column = np.arange(int((hi - lo).max()))
+    width = int((hi - lo).max())
+    column = np.arange(width, dtype=np.int32)
     mine = passage.codes[np.minimum(lo[:, None] + column, len(passage.codes) - 1)]
-    marks = np.zeros((n, len(column) + 1), dtype=bool)
+    mine[column >= (hi - lo)[:, None]] = NO_LETTER - 1
+    marks = np.zeros((n, width + 1), dtype=bool)
     begin = lines.starts[np.searchsorted(lines.numbers, number)]
-    at = begin + placed[3]
-    for d in range(-2, 3):
-        there = at[:, None] + column + d
-        inside = (there >= begin[:, None]) & (there < (begin + lines.lengths[number])[:, None]) & (column < (hi - lo)[:, None])
-        same = inside & (mine == lines.letters[np.clip(there, 0, len(lines.letters) - 1)])
+    there = (begin + placed[3])[:, None] + np.arange(-2, width + 2, dtype=np.int32)
+    theirs = lines.letters[np.clip(there, 0, len(lines.letters) - 1)]
+    theirs[(there < begin[:, None]) | (there >= (begin + lines.lengths[number])[:, None])] = NO_LETTER - 2
+    for d in range(5):
+        same = mine == theirs[:, d : d + width]
         both = same[:, 1:] & same[:, :-1]
         marks[:, 1:-1] |= both
         marks[:, 2:] |= both
-        if d == 0:
+        if d == 2:
             marks[:, 1:] |= same
     i, j = np.nonzero(marks[:, 1:])
     marked[:] = False
@@ -378,38 +436,47 @@ def _rough_runs(
     start = [b[-1] + 1 if b else f for b, f in zip(breaks, first)]
     on = [b[0] - 1 if b else e for b, e in zip(breaks, last)]
     back, ahead = list(first), list(last)
-    reached: dict[int, int] = {}  # by where earlier lines end, the first word of what leads there
-    for some in _by_line(number, range(n)):
+    together = [list(some) for _, some in groupby(range(n), key=number.__getitem__)]  # those of one line
+    # by where earlier lines end (SHORT + SLACK before it stand for places before the passage), the first word of what
+    # leads there; a line goes on with what ends by it, and beyond SLACK only where a short line may stand between
+    none, base = len(passage.spans) + 1, SHORT + SLACK
+    reached = [none] * (len(passage.letters) + 2 * base + 1)
+    for some in together:
         for i in some:
             if not breaks[i] or breaks[i][0] > first[i]:
-                gaps = [e for e in range(lo[i] - SHORT - SLACK, lo[i] + SLACK + 1) if e in reached]
-                fit = [reached[e] for e in gaps if lo[i] - e <= SLACK or lines.short_before(lo[i] - e)[number[i]]]
-                back[i] = min([back[i], *fit])
+                at = lo[i] + base
+                most = min(back[i], min(reached[at - SLACK : at + SLACK + 1]))
+                if min(reached[at - base : at - SLACK]) < most:
+                    for gap in range(base, SLACK, -1):
+                        if reached[at - gap] < most and lines.short_before(gap)[number[i]]:
+                            most = reached[at - gap]
+                back[i] = most
             if not breaks[i]:
                 start[i] = back[i]
         for i in some:
-            if start[i] <= last[i]:
-                reached[hi[i]] = min(start[i], reached.get(hi[i], start[i]))
-    reached = {}  # by where later lines begin, the last word of what follows
-    for some in _by_line(number, range(n - 1, -1, -1)):
+            if start[i] <= last[i] and start[i] < reached[hi[i] + base]:
+                reached[hi[i] + base] = start[i]
+    reached = [-1] * len(reached)  # by where later lines begin, the last word of what follows
+    for some in reversed(together):
         for i in some:
             if start[i] <= last[i]:
-                gaps = [b for b in range(hi[i] - SLACK, hi[i] + SHORT + SLACK + 1) if b in reached]
-                fit = [reached[b] for b in gaps if b - hi[i] <= SLACK or lines.short_before(b - hi[i])[-1]]
-                ahead[i] = max([ahead[i], *fit])
+                at = hi[i] + base
+                most = max(ahead[i], max(reached[at - SLACK : at + SLACK + 1]))
+                if max(reached[at + SLACK + 1 : at + base + 1]) > most:
+                    for gap in range(SLACK + 1, base + 1):
+                        if reached[at + gap] > most and lines.short_before(gap)[-1]:
+                            most = reached[at + gap]
+                ahead[i] = most
             if not breaks[i]:
                 on[i] = ahead[i]
         for i in some:
-            if on[i] >= first[i]:
-                reached[lo[i]] = max(on[i], reached.get(lo[i], on[i]))
+            if on[i] >= first[i] and on[i] > reached[lo[i] + base]:
+                reached[lo[i] + base] = on[i]
     chosen = []
-    for i in range(n):
-        inner = max((b - a - 1 for a, b in zip(breaks[i], breaks[i][1:])), default=0)
-        most = max(on[i] - back[i], ahead[i] - (breaks[i][-1] + 1 if breaks[i] else back[i])) + 1
-        if max(most, inner) >= wanted - 2:
+    for i, cut in enumerate(breaks):
+        most = max(on[i] - back[i], ahead[i] - (cut[-1] + 1 if cut else back[i])) + 1
+        if most < wanted - 2 and len(cut) > 1:
+            most = max(b - a - 1 for a, b in zip(cut, cut[1:]))
+        if most >= wanted - 2:
             chosen.append(i)
     return [tuple(p) for p in placed[:, chosen].T.tolist()]
-
-
-def _by_line(number: list[int], order: range) -> Iterator[list[int]]:
-    return (list(some) for _, some in groupby(order, key=number.__getitem__))

@@ -1,4 +1,5 @@
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 
@@ -6,7 +7,7 @@ from strandloom.llm import fingerprints as fp
 from strandloom.llm import leakage
 from strandloom.llm.leakage import column_order, leaked_items
 from strandloom.llm.letters import MISREADINGS, SIZE, plain
-from strandloom.llm.runs import Lines, Passage, longest_run
+from strandloom.llm.runs import Lines, Passage, _opcodes, longest_run
 
 WORDS = ("harbour lantern seventeen carriage bishop turnips yellow market quarrel station orchard velvet thunder butcher "
          "canal almanac pepper widow garrison stable ledger magistrate fiddler herring brewery chimney").split()
@@ -166,3 +167,27 @@ def test_a_line_may_hold_parts_of_a_passage_at_many_places():
     cut = [" ".join(words[i : i + 30]) for i in range(0, 200, 40)]
     page = f" {prose(rng, 9)} ".join([*cut, " ".join(words[:38])])
     assert 30 <= run(" ".join(words), [page]) <= 38  # a piece of a long line is joined to one piece before it
+
+
+def test_opcodes_are_those_of_difflib():
+    rng = random.Random(6)
+    for n in range(1500):
+        letters = "ab" if n % 3 == 0 else "abcdefghij"
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(90)))
+        b = list(a[rng.randrange(9) :] if n % 2 else rng.choices(letters, k=rng.randrange(90)))
+        for i in rng.sample(range(len(b)), min(len(b), rng.randrange(9))):
+            b[i] = rng.choice(["", "x", "ab", "a"])
+        other = "".join(b)
+        assert _opcodes(a, other) == [tuple(x) for x in SequenceMatcher(None, a, other, autojunk=False).get_opcodes()]
+
+
+def test_lines_found_in_one_order_serve_another():
+    rng = random.Random(11)
+    text = prose(rng, 60)
+    lines = [plain(x) for x in wrapped(misread(text, 0.02, rng), 40)]
+    foreign = [plain(x) for x in wrapped(prose(rng, 60), 40)]
+    mixed = [x for pair in zip(lines, foreign) for x in pair] + lines[len(foreign) :]
+    passage, known = Passage(text), {}
+    for order in (mixed, lines, lines[::-1]):
+        assert longest_run(passage, Lines(order), 20, known) == longest_run(passage, Lines(order), 20)
+    assert known
