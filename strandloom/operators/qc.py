@@ -150,12 +150,8 @@ def repeats(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits())
     )
 
 
-def stems(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
-    """key, arm_start, partner_start, arm: k-mers of the 5' end whose reverse complement follows after a loop.
-
-    A structure measure by sequence alone; it is no folding energy. All is
-    compared inside a row; no k-mer is shuffled.
-    """
+def _stem_places(sequences: DataFrame, key: str, dna: str, limits: Limits) -> DataFrame:
+    """key, places: where the k-mers (at, arm) stand whose reverse complement is in the 5' end, too."""
     k = limits.stem
     heads = sequences.select(key, F.upper(F.substring(dna, 1, limits.five_prime)).alias("head"))
     long = heads.where(F.length("head") >= 2 * k + limits.loop)
@@ -171,7 +167,17 @@ def stems(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -
         F.array(F.array_intersect("arms", "turned")),
         lambda shared: F.filter(placed, lambda x: F.array_contains(shared, x["arm"])),
     )
-    places = arms.select(key, some[0].alias("places")).select(key, "places", F.explode("places").alias("x"))
+    return arms.select(key, some[0].alias("places"))
+
+
+def stems(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
+    """key, arm_start, partner_start, arm: k-mers of the 5' end whose reverse complement follows after a loop.
+
+    A structure measure by sequence alone; it is no folding energy. All is
+    compared inside a row; no k-mer is shuffled.
+    """
+    k = limits.stem
+    places = _stem_places(sequences, key, dna, limits).select(key, "places", F.explode("places").alias("x"))
     partner = F.filter(
         "places",
         lambda y: (y["at"] >= F.col("x.at") + k + limits.loop) & (y["arm"] == seq.reverse_complement(F.col("x.arm"))),
@@ -187,6 +193,25 @@ def stem_codons(pairs: DataFrame, key: str, limits: Limits = Limits()) -> DataFr
     return spans.select(key, F.explode(inside).alias("codon_index")).where("codon_index > 0").distinct()
 
 
+def stem_codons_of(sequences: DataFrame, key: str, dna: str, limits: Limits = Limits()) -> DataFrame:
+    """key, codon_index: what ``stem_codons`` gives of ``stems``, where each key has one row.
+
+    The codons are gathered inside a row: pairs, of which there may be a
+    thousand times as many as codons, aren't made, and nothing is aggregated.
+    """
+    turned = F.transform("places", lambda x: F.struct(x["at"].alias("at"), seq.reverse_complement(x["arm"]).alias("arm")))
+    far = limits.stem + limits.loop
+    both = _stem_places(sequences, key, dna, limits).select(key, "places", turned.alias("turned"))
+    # of two k-mers that are each other's complement and far enough apart one is the arm and one the partner
+    starts = F.filter(
+        "places", lambda x: F.exists("turned", lambda y: (F.abs(y["at"] - x["at"]) >= far) & (y["arm"] == x["arm"]))
+    )
+    inside = F.flatten(
+        F.transform(starts, lambda x: F.sequence(seq.first_codon(x["at"]), seq.last_codon(x["at"] + limits.stem)))
+    )
+    return both.select(key, F.explode(F.array_distinct(inside)).alias("codon_index")).where("codon_index > 0")
+
+
 def qc_summary(sequences: DataFrame, key: str, dna: str, structure: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """key, overall_gc, gc_ok, n_homopolymers, n_repeats, structure_ok, qc_pass, all in one pass over the rows.
 

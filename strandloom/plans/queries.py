@@ -545,7 +545,7 @@ def five_prime_stems(spark: SparkSession, folder: str) -> DataFrame:
   SELECT DISTINCT locus_tag, CAST(i AS INT) AS codon_index FROM (
     SELECT locus_tag, unnest(range(s // 3, (s + 5) // 3 + 1)) AS i FROM spans) WHERE i > 0""")
 def stem_codons(spark: SparkSession, folder: str) -> DataFrame:
-    return qc.stem_codons(five_prime_stems(spark, folder), "locus_tag")
+    return qc.stem_codons_of(_cds(spark, folder), "locus_tag", "nucleotide_seq")
 
 
 @_query(f"""SELECT target_idx, variant_number, round(gc, 9) AS overall_gc, n_homopolymers, n_repeats,

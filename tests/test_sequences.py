@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seq
 from strandloom.operators import codon_usage as cu
 from strandloom.operators import design, metrics, motifs, qc
+from strandloom.plans import queries
 
 
 def values(spark, column, *texts):
@@ -144,3 +145,20 @@ def test_stem_codons_without_a_join(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     touched = {(r.k, s // 3 + d) for r in stems.collect() for s in (r.arm_start, r.partner_start) for d in range((s % 3 + 5) // 3 + 1)}
     assert touched and sorted(map(tuple, found.collect())) == sorted(x for x in touched if x[1])
+
+
+def test_stem_codons_inside_their_row(spark):
+    rng = random.Random(13)
+    genes = ["".join(rng.choice("ACGT") for _ in range(rng.choice([14, 15, 90, 200]))) for _ in range(60)]
+    genes += ["gaattc" * 30, "AT" * 90, "A" * 150 + "T" * 9, "ACGTNN" * 9, "GAATTCGAATTC", "", None]
+    df = spark.createDataFrame(list(enumerate(genes)), "k int, s string")
+    found = qc.stem_codons_of(df, "k", "s")
+    wanted = qc.stem_codons(qc.stems(df, "k", "s"), "k")
+    assert found.schema["codon_index"].dataType == wanted.schema["codon_index"].dataType
+    assert wanted.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_query_stem_codons_makes_no_pairs(spark, data):
+    plan = queries.queries()["stem_codons"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # one exploded array, and no aggregate: the genes' keys are distinct
+    assert plan.count("Generate explode") == 1 and "Aggregate" not in plan
