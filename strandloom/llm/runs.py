@@ -6,11 +6,10 @@ import re
 from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 
-from strandloom.llm.letters import EXPLAINED, GRAM, NO_LETTER, folded, grams, plain
+from strandloom.llm.letters import EXPLAINED, GRAM, NO_LETTER, SIZE, folded, grams, plain
 
 #: Letters by which rough placements may be off, and beyond a rough placement that are compared.
 SLACK, MARGIN = 4, 40
@@ -33,6 +32,8 @@ class Passage:
         self.ends = np.array([0, *ends], dtype=np.int64)
         self.codes = folded(self.letters)
         self.shingles = grams(self.codes)
+        self.order = np.argsort(self.shingles)  # sorted shingles are found faster
+        self.ordered = self.shingles[self.order]
         runs = zip(self.spans, self.spans[min_words - 1 :])
         self.least = min((b[1] - a[0] for a, b in runs), default=None)  # letters of the shortest run; None: no run
 
@@ -308,7 +309,12 @@ class Lines:
         own = grams(self.letters)
         inside = np.flatnonzero(self.line[: len(own)] == self.line[GRAM - 1 :]) if len(own) else np.empty(0, np.int64)
         order = np.argsort(own[inside], kind="stable")
-        self.own, self.place = own[inside][order], inside[order]  # shingles in their order, and where they stand
+        every, place = own[inside][order], inside[order]
+        # the distinct shingles in their order (the last is none), where the places of each begin, and their lines and columns
+        begin = np.flatnonzero(np.diff(every, prepend=-1))
+        self.own, self.begin = np.append(every[begin], SIZE**GRAM), np.append(begin, [len(every), len(every)])
+        self.row = self.line[place]
+        self.column = place - self.starts[self.row]
 
     def short_before(self, size: int) -> list[int]:
         """How many short lines of about that size stand before each line."""
@@ -328,16 +334,22 @@ def _placements(passage: Passage, lines: Lines) -> tuple[np.ndarray, np.ndarray]
     none = np.empty((4, 0), dtype=np.int64), np.empty(0, dtype=np.int64)
     n, sizes = len(passage.letters), lines.sizes
     # every place of a line where a shingle of the passage stands is a vote for (line, offset)
-    first = np.searchsorted(lines.own, passage.shingles, side="left")
-    count = np.searchsorted(lines.own, passage.shingles, side="right") - first
-    if not count.any():
+    which = np.searchsorted(lines.own, passage.ordered)
+    hit = np.flatnonzero(lines.own[which] == passage.ordered)
+    if not len(hit):
         return none
-    at = np.repeat(np.arange(len(count)), count)
-    who = lines.place[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(at))]
+    which = which[hit]
+    first = lines.begin[which]
+    count = lines.begin[which + 1] - first
+    at = np.repeat(passage.order[hit], count)
+    place = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(at))
     longest = int(sizes.max())
     width = n + 2 * longest
-    ballot = lines.line[who] * width + longest - (who - lines.starts[lines.line[who]]) + at
-    ballots, which, votes = np.unique(ballot, return_inverse=True, return_counts=True)
+    ballot = lines.row[place] * width + (longest - lines.column[place] + at)
+    order = np.argsort(ballot)
+    ballot = ballot[order]
+    begin = np.flatnonzero(np.diff(ballot, prepend=-1))
+    ballots, votes = ballot[begin], np.diff(begin, append=len(ballot))
     near = votes.copy()  # votes within two letters belong together: misread letters shift what follows
     close = []
     for ahead in (1, 2):  # ballots are sorted and distinct
@@ -359,7 +371,7 @@ def _placements(passage: Passage, lines: Lines) -> tuple[np.ndarray, np.ndarray]
         keep[np.where(better, right, left)] = False
     k = np.flatnonzero(keep)
     placed = np.stack([lines.numbers[whose[k]], lo[k], hi[k], np.maximum(0, -offset[k])])
-    return placed, at[enough[which]]
+    return placed, at[order[np.repeat(enough, votes)]]
 
 
 def _within(passage: Passage, spans: np.ndarray, marked: np.ndarray, share: float, wanted: int) -> np.ndarray:
@@ -373,6 +385,12 @@ def _within(passage: Passage, spans: np.ndarray, marked: np.ndarray, share: floa
     return np.searchsorted(first, spans[1]) > np.searchsorted(last, spans[0], side="right")
 
 
+def _cut(letters: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The letters from each place on, in rows; what lies before or after all letters is anything."""
+    padded = np.concatenate((np.zeros(2, np.uint8), letters, np.zeros(width, np.uint8)))
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[at + 2]
+
+
 def _rough_runs(
     passage: Passage, lines: Lines, placed: np.ndarray, agreeing: np.ndarray, wanted: int
 ) -> list[tuple[int, int, int, int]]:
@@ -393,15 +411,16 @@ def _rough_runs(
     number, lo, hi, _ = placed
     n = len(lo)
     # letters of each placement that agree in place, or two in a row up to two letters off, and the words that can't be read
-    width = int((hi - lo).max())
-    column = np.arange(width, dtype=np.int32)
-    mine = passage.codes[np.minimum(lo[:, None] + column, len(passage.codes) - 1)]
-    mine[column >= (hi - lo)[:, None]] = NO_LETTER - 1
+    sizes = hi - lo
+    width = int(sizes.max())
+    column = np.arange(-2, width + 2, dtype=np.int16)
+    mine = _cut(passage.codes, lo, width)
+    np.copyto(mine, np.uint8(NO_LETTER - 1), where=column[2:-2] >= sizes.astype(np.int16)[:, None])
     marks = np.zeros((n, width + 1), dtype=bool)
     begin = lines.starts[np.searchsorted(lines.numbers, number)]
-    there = (begin + placed[3])[:, None] + np.arange(-2, width + 2, dtype=np.int32)
-    theirs = lines.letters[np.clip(there, 0, len(lines.letters) - 1)]
-    theirs[(there < begin[:, None]) | (there >= (begin + lines.lengths[number])[:, None])] = NO_LETTER - 2
+    theirs = _cut(lines.letters, begin + placed[3] - 2, width + 4)
+    left, right = -placed[3].astype(np.int16), (lines.lengths[number] - placed[3]).astype(np.int16)
+    np.copyto(theirs, np.uint8(NO_LETTER - 2), where=(column < left[:, None]) | (column >= right[:, None]))
     for d in range(5):
         same = mine == theirs[:, d : d + width]
         both = same[:, 1:] & same[:, :-1]
@@ -427,56 +446,77 @@ def _rough_runs(
     a = np.maximum(passage.ends[word], lo[row]) - lo[row]
     b = np.minimum(passage.ends[word + 1], hi[row]) - lo[row]
     bad = (b - a >= WORD) & (total[row, b] - total[row, a] < READ * (b - a))
-    breaks: list[list[int]] = [[] for _ in range(n)]
-    for i, w in zip(row[bad].tolist(), word[bad].tolist()):
-        breaks[i].append(w)
+    # each placement's first and last break, and whether enough words stand between two of them
+    broken, cut = row[bad], word[bad]
+    first_cut, last_cut, inner = np.full(n, len(passage.spans)), np.full(n, -1), np.zeros(n, dtype=bool)
+    last_cut[broken] = cut
+    first_cut[broken[::-1]] = cut[::-1]
+    least = wanted - 3  # the words that are enough, less one
+    inner[broken[1:][(broken[1:] == broken[:-1]) & (np.diff(cut) - 2 >= least)]] = True
+    whole = last_cut < 0
 
     # how far back the words before each placement's first break reach, and how far on those after its last
-    number, lo, hi, first, last = (x.tolist() for x in (number, lo, hi, first, last))
-    start = [b[-1] + 1 if b else f for b, f in zip(breaks, first)]
-    on = [b[0] - 1 if b else e for b, e in zip(breaks, last)]
+    starts, ons = np.where(whole, first, last_cut + 1), np.where(whole, last, first_cut - 1)
+    # a placement that breaks at both its ends goes on with none
+    some = np.flatnonzero((first_cut > first) | (last_cut < last))
+    bounds = np.flatnonzero(np.diff(number[some], prepend=-1, append=-1)).tolist()
+    together = [range(i, j) for i, j in zip(bounds, bounds[1:])]  # those of one line
+    opens, entire = (first_cut > first)[some].tolist(), whole[some].tolist()
+    backs, aheads = first.copy(), last.copy()
+    number, lo, hi, first, last, start, on = (x[some].tolist() for x in (number, lo, hi, first, last, starts, ons))
     back, ahead = list(first), list(last)
-    together = [list(some) for _, some in groupby(range(n), key=number.__getitem__)]  # those of one line
     # by where earlier lines end (SHORT + SLACK before it stand for places before the passage), the first word of what
-    # leads there; a line goes on with what ends by it, and beyond SLACK only where a short line may stand between
+    # leads there; a line goes on with what ends by it, and beyond SLACK only where a short line may stand between.
+    # near and far: the least of what is reached by a place, and of what is reached further before it
     none, base = len(passage.spans) + 1, SHORT + SLACK
-    reached = [none] * (len(passage.letters) + 2 * base + 1)
-    for some in together:
-        for i in some:
-            if not breaks[i] or breaks[i][0] > first[i]:
+    room = len(passage.letters) + 4 * base
+    reached, near, far = [none] * room, [none] * room, [none] * room
+    for line in together:
+        for i in line:
+            if opens[i]:
                 at = lo[i] + base
-                most = min(back[i], min(reached[at - SLACK : at + SLACK + 1]))
-                if min(reached[at - base : at - SLACK]) < most:
+                most = near[at] if near[at] < back[i] else back[i]
+                if far[at] < most:
                     for gap in range(base, SLACK, -1):
                         if reached[at - gap] < most and lines.short_before(gap)[number[i]]:
                             most = reached[at - gap]
                 back[i] = most
-            if not breaks[i]:
+            if entire[i]:
                 start[i] = back[i]
-        for i in some:
-            if start[i] <= last[i] and start[i] < reached[hi[i] + base]:
-                reached[hi[i] + base] = start[i]
-    reached = [-1] * len(reached)  # by where later lines begin, the last word of what follows
-    for some in reversed(together):
-        for i in some:
+        for i in line:
+            x, at = start[i], hi[i] + base
+            if x <= last[i] and x < reached[at]:
+                reached[at] = x
+                for k in range(at - SLACK, at + SLACK + 1):
+                    if x < near[k]:
+                        near[k] = x
+                for k in range(at + SLACK + 1, at + base + 1):
+                    if x < far[k]:
+                        far[k] = x
+    # by where later lines begin, the last word of what follows
+    reached, near, far = [-1] * room, [-1] * room, [-1] * room
+    for line in reversed(together):
+        for i in line:
             if start[i] <= last[i]:
                 at = hi[i] + base
-                most = max(ahead[i], max(reached[at - SLACK : at + SLACK + 1]))
-                if max(reached[at + SLACK + 1 : at + base + 1]) > most:
+                most = near[at] if near[at] > ahead[i] else ahead[i]
+                if far[at] > most:
                     for gap in range(SLACK + 1, base + 1):
                         if reached[at + gap] > most and lines.short_before(gap)[-1]:
                             most = reached[at + gap]
                 ahead[i] = most
-            if not breaks[i]:
+            if entire[i]:
                 on[i] = ahead[i]
-        for i in some:
-            if on[i] >= first[i] and on[i] > reached[lo[i] + base]:
-                reached[lo[i] + base] = on[i]
-    chosen = []
-    for i, cut in enumerate(breaks):
-        most = max(on[i] - back[i], ahead[i] - (cut[-1] + 1 if cut else back[i])) + 1
-        if most < wanted - 2 and len(cut) > 1:
-            most = max(b - a - 1 for a, b in zip(cut, cut[1:]))
-        if most >= wanted - 2:
-            chosen.append(i)
+        for i in line:
+            x, at = on[i], lo[i] + base
+            if x >= first[i] and x > reached[at]:
+                reached[at] = x
+                for k in range(at - SLACK, at + SLACK + 1):
+                    if x > near[k]:
+                        near[k] = x
+                for k in range(at - base, at - SLACK):
+                    if x > far[k]:
+                        far[k] = x
+    backs[some], aheads[some], ons[some] = back, ahead, on
+    chosen = inner | (ons - backs >= least) | (aheads - np.where(whole, backs, last_cut + 1) >= least)
     return [tuple(p) for p in placed[:, chosen].T.tolist()]

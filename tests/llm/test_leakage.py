@@ -1,4 +1,6 @@
 import random
+import string
+import sys
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -7,7 +9,7 @@ from strandloom.llm import fingerprints as fp
 from strandloom.llm import leakage
 from strandloom.llm.leakage import column_order, leaked_items
 from strandloom.llm.letters import MISREADINGS, SIZE, plain
-from strandloom.llm.runs import Lines, Passage, _opcodes, longest_run
+from strandloom.llm.runs import Lines, Passage, _opcodes, _placements, _rough_runs, longest_run
 
 WORDS = ("harbour lantern seventeen carriage bishop turnips yellow market quarrel station orchard velvet thunder butcher "
          "canal almanac pepper widow garrison stable ledger magistrate fiddler herring brewery chimney").split()
@@ -191,3 +193,21 @@ def test_lines_found_in_one_order_serve_another():
     for order in (mixed, lines, lines[::-1]):
         assert longest_run(passage, Lines(order), 20, known) == longest_run(passage, Lines(order), 20)
     assert known
+
+
+def test_lines_that_go_on_with_none_cost_no_steps():
+    rng = random.Random(8)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(60)]
+    passage = Passage(" ".join(words))
+    held = [" ".join(words[i : i + 5]) for i in range(0, 60, 5)]
+    foreign = [f"qqqqqqq {' '.join(words[i + 1 : i + 4])} qqqqqqq" for _ in range(200) for i in range(0, 55, 5)]
+    lines = Lines([plain(x) for x in held[:6] + foreign + held[6:]])
+    found = _placements(passage, lines)
+    assert found[0].shape[1] > len(foreign)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    chosen = _rough_runs(passage, lines, *found, 20)
+    sys.setprofile(None)
+    assert len(calls) < len(foreign)
+    assert {number for number, *_ in chosen} == {*range(6), *range(6 + len(foreign), 12 + len(foreign))}
+    assert longest_run(passage, lines, 20) == 60
