@@ -60,27 +60,30 @@ class MultiIndex:
         self.prints = prints
         keys = prints.view(np.uint16).reshape(-1, BLOCKS)
         self.order = [np.argsort(keys[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        self.ordered = [prints[order] for order in self.order]
         self.starts = [
             np.concatenate(([0], np.cumsum(np.bincount(keys[:, b], minlength=1 << 16)))) for b in range(BLOCKS)
         ]
 
-    def near(self, prints: np.ndarray, chunk: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-        mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    def near(self, prints: np.ndarray, chunk: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+        mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(prints), chunk):
             part = prints[at : at + chunk]
             keys = part.view(np.uint16).reshape(-1, BLOCKS)
             for b in range(BLOCKS):
                 first = self.starts[b][keys[:, b]]
-                n = self.starts[b][keys[:, b].astype(np.int64) + 1] - first
-                who = np.repeat(np.arange(len(part)), n)
-                offset = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                other = self.order[b][np.repeat(first, n) + offset]
-                close = np.bitwise_count(part[who] ^ self.prints[other]) <= RADIUS
-                mine.append(who[close] + at)
-                theirs.append(other[close])
-        size = max(len(self.prints), 1)
-        pairs = np.unique(np.concatenate(mine) * size + np.concatenate(theirs))
-        return pairs // size, pairs % size
+                n = self.starts[b][keys[:, b].astype(np.int32) + 1] - first
+                stop = np.cumsum(n)
+                place = np.repeat(first - (stop - n), n)
+                place += np.arange(len(place))
+                differ = np.repeat(part, n) ^ self.ordered[b][place]
+                close = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
+                # what agrees in an earlier block has been found there
+                blocks = differ[close].view(np.uint16).reshape(-1, BLOCKS)
+                close = close[(blocks[:, :b] != 0).all(axis=1)]
+                mine.append(np.searchsorted(stop, close, side="right") + at)
+                theirs.append(self.order[b][place[close]])
+        return np.concatenate(mine), np.concatenate(theirs)
 
 
 def weighted_overlap(one: np.ndarray, other: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -89,9 +92,17 @@ def weighted_overlap(one: np.ndarray, other: np.ndarray, weight: np.ndarray) ->
     if not len(one):
         return np.empty(0)
 
-    def distinct(rows: np.ndarray) -> np.ndarray:
-        return ~(np.tril(rows[:, :, None] == rows[:, None, :], -1).any(axis=2))
-
+    def distinct(columns: np.ndarray) -> np.ndarray:
+        again = np.zeros(columns.shape, dtype=bool)
+        for d in range(1, len(columns)):
+            again[d:] |= columns[d:] == columns[:-d]
+        return ~again
+
+    # by columns, so that what is compared lies together
+    one, other = np.ascontiguousarray(one.T), np.ascontiguousarray(other.T)
+    common = np.zeros(one.shape, dtype=bool)
+    for column in other:
+        common |= one == column
     a, b = distinct(one) * weight[one], distinct(other) * weight[other]
-    shared = ((one[:, :, None] == other[:, None, :]).any(axis=2) * a).sum(axis=1)
-    return shared / np.maximum(a.sum(axis=1) + b.sum(axis=1, dtype=np.int64) - shared, 1)
+    shared = (common * a).sum(axis=0)
+    return shared / np.maximum(a.sum(axis=0) + b.sum(axis=0, dtype=np.int64) - shared, 1)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from strandloom.llm import fingerprints as fp
 from strandloom.llm.letters import GRAM, NO_LETTER, SIZE, folded, grams, plain, stream, trigrams
-from strandloom.llm.runs import Lines, Passage, longest_run
+from strandloom.llm.runs import Passage, longest_runs
 from strandloom.workspace import keep, ship_package
 
 #: Words in a row that make a leak, and the least weighted similarity of a page's window to a passage's.
@@ -35,8 +35,8 @@ NARROWEST, JITTER = 150, 25
 #: Passages indexed (and sent to the executors) at a time, and their letters (a longer passage is indexed alone);
 #: more passages take further passes over the corpus.
 PASSAGES_AT_ONCE, LETTERS_AT_ONCE = 4_000, 4_000_000
-#: Characters of pages, and shingles, that a worker handles at a time.
-_CHUNK, _SEGMENT = 1_500_000, 1 << 20
+#: Characters of pages, shingles, and pairs of windows, that a worker handles at a time.
+_CHUNK, _SEGMENT, _PAIRS = 500_000, 1 << 17, 4_000
 
 
 def column_order(left: np.ndarray) -> np.ndarray | None:
@@ -161,19 +161,27 @@ class PassageIndex:
         found = stops[:-1][np.diff(stops) - 1 >= self.min_words] + 1
         return sorted({passages[i] for i in np.searchsorted(whose, found, side="right") - 1})
 
+    def searches(self, orders: list[list[str]], left, near: list[tuple[int, list[int]]]) -> Iterator[tuple]:
+        """What ``longest_runs`` takes, for the pages and passages that are near."""
+        for row, some in near:
+            lines = plain(orders[row][0]).split("\n")
+            turned = column_order(np.asarray(left.iloc[row], dtype=np.int64)) if len(orders[row]) > 1 else None
+            yield lines, turned, [self.passages[k] for k in some]
+
     def _windows(self, own: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of a page's and a passage's windows that are close by fingerprint and similar by exact comparison."""
         firsts, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        span = np.arange(fp.WINDOW)
+        windows = np.lib.stride_tricks.sliding_window_view
+        known = windows(self.shingles, fp.WINDOW) if len(self.at) else self.shingles
         for at in range(0, len(own), _SEGMENT):
             seg = own[at : at + _SEGMENT + fp.WINDOW - fp.STEP]
             mine, theirs = self.index.near(fp.window_prints(seg, self.lanes, self.weight))
             first, other = at + mine * fp.STEP, self.at[theirs]
             inside = owner[first] == owner[first + LETTERS - 1]
             first, other = first[inside], other[inside]
-            for i in range(0, len(first), 20_000):
-                f, t = first[i : i + 20_000], other[i : i + 20_000]
-                a, b = own[f[:, None] + span], self.shingles[t[:, None] + span]
+            for i in range(0, len(first), _PAIRS):
+                f, t = first[i : i + _PAIRS], other[i : i + _PAIRS]
+                a, b = windows(own, fp.WINDOW)[f], known[t]
                 alike = (a == b).all(axis=1)  # most are, and equal windows need no comparison of sets
                 rest = np.flatnonzero(~alike)
                 alike[rest] = fp.weighted_overlap(a[rest], b[rest], self.weight) >= MIN_SIMILARITY
@@ -189,13 +197,14 @@ class PassageIndex:
         mine, passage = owner[first], self.owner[theirs]
         stop = theirs + last - first
         lo, hi = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
-        for i in range(0, len(first), 20_000):
-            s = slice(i, i + 20_000)
+        margin = np.zeros(2 * REACH, np.uint8)
+        a, b = np.concatenate((margin, letters, margin)), np.concatenate((margin, self.letters, margin))
+        for i in range(0, len(first), _PAIRS):
+            s = slice(i, i + _PAIRS)
             rooms = np.minimum(bounds[mine[s] + 1] - last[s], self.starts[passage[s] + 1] - stop[s])
-            hi[s] = stop[s] + _drawn_out(letters, self.letters, last[s], stop[s], rooms, 1)
+            hi[s] = stop[s] + _drawn_out(a, b, last[s], stop[s], rooms, 1)
             rooms = np.minimum(first[s] - bounds[mine[s]], theirs[s] - self.starts[passage[s]])
-            lo[s] = theirs[s] - _drawn_out(letters, self.letters, first[s] - 1, theirs[s] - 1, rooms, -1)
-        # one row of marks per pair of page and passage: where the passage is covered
+            lo[s] = theirs[s] - _drawn_out(a, b, first[s] - 1, theirs[s] - 1, rooms, -1)
         of = page[first].astype(np.int64) * len(self.passages) + passage
         pair, which = np.unique(of, return_inverse=True)
         wanted = MIN_COVERED * self.least
@@ -206,17 +215,21 @@ class PassageIndex:
         if not len(pair):
             return np.empty((0, 2), dtype=np.int64)
         whose = pair % len(self.passages)
+        # each pair's passage stands in a row of its own; there the stretches are joined to spans that don't touch
         size = self.starts[whose + 1] - self.starts[whose]
-        begin = np.concatenate(([0], np.cumsum(size + 1)))
-        change = np.zeros(begin[-1] + 1, dtype=np.int32)
-        shift = begin[which] - self.starts[passage]
-        np.add.at(change, lo + shift, 1)
-        np.add.at(change, hi + shift, -1)
-        total = np.concatenate(([0], np.cumsum(np.cumsum(change[:-1]) > 0)))
-        run = np.repeat(self.least[whose], size + 1)
-        end = np.repeat(begin[1:] - 1, size + 1)
-        ahead = np.minimum(np.arange(begin[-1]) + run, end)
-        most = np.maximum.reduceat(total[ahead] - total[np.arange(begin[-1])], begin[:-1])
+        shift = (np.cumsum(size + 1) - size - 1 - self.starts[whose])[which]
+        lo, hi = lo + shift, hi + shift
+        order = np.argsort(lo)
+        lo, hi, which = lo[order], np.maximum.accumulate(hi[order]), which[order]
+        begin = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+        lo, hi, which = lo[begin], hi[np.append(begin[1:], len(hi)) - 1], which[begin]
+        # letters covered most by a shortest run are covered by one that begins where a span does
+        before = np.cumsum(hi - lo) - (hi - lo)
+        stop = lo + self.least[whose[which]]
+        last = np.searchsorted(lo, stop) - 1
+        last = np.minimum(last, np.searchsorted(which, which, side="right") - 1)
+        covered = before[last] - before + np.minimum(hi[last], stop) - lo[last]
+        most = np.maximum.reduceat(covered, np.flatnonzero(np.diff(which, prepend=-1)))
         enough = pair[most >= wanted[whose]]
         return np.stack([enough // len(self.passages), enough % len(self.passages)], axis=1)
 
@@ -237,15 +250,34 @@ def _stretches(first, theirs, owner, whose) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _drawn_out(a: np.ndarray, b: np.ndarray, at, other, room, step: int) -> np.ndarray:
-    """How far two texts agree beyond a place, a letter counting 1 and a difference -2, at most REACH letters."""
-    k = np.arange(REACH)
-    inside = k < room[:, None]
-    i = np.where(inside, at[:, None] + step * k, 0)
-    j = np.where(inside, other[:, None] + step * k, 0)
-    score = np.where(inside, np.where(a[i] == b[j], 1, -2), -REACH).astype(np.int16)
-    total = np.cumsum(score, axis=1, dtype=np.int16)
-    far = total.argmax(axis=1)
-    return np.where(total[np.arange(len(far)), far] > 0, far + 1, 0)
+    """How far two texts agree beyond a place, a letter counting 1 and a difference -2, at most REACH letters.
+
+    Around the texts there are 2 * REACH letters more.
+    """
+    far = np.zeros(len(at), dtype=np.int64)
+    rest, best, so_far, begin = np.arange(len(at)), np.zeros(len(at), np.int16), np.zeros(len(at), np.int16), 0
+    # most texts differ soon: what can't reach its best place any more isn't compared further
+    for end in (REACH // 4, REACH // 2, REACH):
+        k = np.arange(begin, end)
+        x = _ahead(a, at[rest] + step * begin, end - begin, step)
+        y = _ahead(b, other[rest] + step * begin, end - begin, step)
+        score = np.where(x == y, np.int8(1), np.int8(-2))
+        np.copyto(score, np.int8(-REACH), where=k >= room[rest][:, None])
+        total = np.cumsum(score, axis=1, dtype=np.int16) + so_far[:, None]
+        place = total.argmax(axis=1)
+        most = total[np.arange(len(rest)), place]
+        better = most > best
+        far[rest[better]] = begin + place[better] + 1
+        best = np.maximum(best, most)
+        on = total[:, -1] + (REACH - end) > best
+        rest, best, so_far, begin = rest[on], best[on], total[on, -1], end
+    return far
+
+
+def _ahead(letters: np.ndarray, at: np.ndarray, width: int, step: int) -> np.ndarray:
+    """The letters from each place on, forwards or backwards, in rows."""
+    rows = np.lib.stride_tricks.sliding_window_view(letters, width)
+    return rows[at + 2 * REACH] if step > 0 else rows[at + 2 * REACH - width + 1][:, ::-1]
 
 
 _indexes: dict[str, PassageIndex] = {}
@@ -271,13 +303,12 @@ def _measured(pages: DataFrame, texts: list[str], weight: np.ndarray, min_words:
             rows, numbers, words = [], [], []
             pairs = index.find(orders)
             first = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)).tolist()
+            near = []
             for i, j in zip(first, [*first[1:], len(pairs)]):
                 row = int(pairs[i, 0])
-                near = index.promising(orders[row], pairs[i:j, 1].tolist())
-                lines = [Lines(plain(x).split("\n")) for x in orders[row]] if near else []
-                for k in near:
-                    known: dict[tuple, list[tuple]] = {}
-                    n = max(longest_run(index.passages[k], x, min_words, known) for x in lines)
+                near += [(row, k) for k in [index.promising(orders[row], pairs[i:j, 1].tolist())] if k]
+            for (row, some), best in zip(near, longest_runs(index.searches(orders, b["left"], near), min_words)):
+                for k, n in zip(some, best):
                     if n >= min_words:
                         rows.append(row)
                         numbers.append(k)

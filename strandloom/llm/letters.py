@@ -82,11 +82,18 @@ def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def plain(text: str) -> str:
     """Lower-case letters, digits and line ends; ``!`` between letters stands for one and becomes 1."""
-    return _NEITHER.sub("", _MARK.sub("1", text.lower()))
+    try:
+        marked = _MARK.sub("1", text) if "!" in text else text
+        return marked.encode("latin-1").translate(_LOWER, _DROPPED).decode("latin-1")  # much faster, and the same
+    except UnicodeEncodeError:
+        return _NEITHER.sub("", _MARK.sub("1", text.lower()))
 
 
 _NEITHER = re.compile(r"[^\w\n]+|_+")
 _MARK = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
+_LATIN = [chr(i) for i in range(256)]
+_LOWER = "".join(_LATIN).lower().encode("latin-1")
+_DROPPED = "".join(c for c in _LATIN if _NEITHER.match(c)).encode("latin-1")
 
 
 def trigrams(letters: np.ndarray) -> np.ndarray:

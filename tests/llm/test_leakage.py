@@ -1,4 +1,5 @@
 import random
+import re
 import string
 import sys
 from difflib import SequenceMatcher
@@ -6,10 +7,10 @@ from difflib import SequenceMatcher
 import numpy as np
 
 from strandloom.llm import fingerprints as fp
-from strandloom.llm import leakage
+from strandloom.llm import leakage, runs
 from strandloom.llm.leakage import column_order, leaked_items
 from strandloom.llm.letters import MISREADINGS, SIZE, plain
-from strandloom.llm.runs import Lines, Passage, _opcodes, _placements, _rough_runs, longest_run
+from strandloom.llm.runs import Lines, Passage, _opcodes, _placements, _rough_runs, longest_run, longest_runs
 
 WORDS = ("harbour lantern seventeen carriage bishop turnips yellow market quarrel station orchard velvet thunder butcher "
          "canal almanac pepper widow garrison stable ledger magistrate fiddler herring brewery chimney").split()
@@ -211,3 +212,44 @@ def test_lines_that_go_on_with_none_cost_no_steps():
     assert len(calls) < len(foreign)
     assert {number for number, *_ in chosen} == {*range(6), *range(6 + len(foreign), 12 + len(foreign))}
     assert longest_run(passage, lines, 20) == 60
+
+
+def test_lines_between_which_no_short_line_stands_are_not_compared(monkeypatch):
+    rng = random.Random(13)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(7 if i % 4 < 2 else 3)) for i in range(600)]
+    passage = Passage(" ".join(words))
+    parts = [" ".join(words[i : i + 2]) for i in range(0, 600, 4)]  # two short words are missing after each
+    compared = []
+    laid = runs._laid
+    monkeypatch.setattr(runs, "_laid", lambda *x: compared.append(x) or laid(*x))
+    foreign = [plain(x) for _ in range(40) for part in parts for x in (part, "qqqqqq")]
+    assert longest_run(passage, Lines(foreign), 20) < 20 and len(compared) < 20
+    whole = [plain(x) for i in range(0, 600, 4) for x in (parts[i // 4], " ".join(words[i + 2 : i + 4]))]
+    assert longest_run(passage, Lines(foreign + whole), 20) == 600
+
+
+def test_pages_searched_at_once_hold_what_each_holds_alone():
+    rng = random.Random(14)
+    texts = [prose(rng, 60) for _ in range(5)]
+    passages = [Passage(t) for t in texts]
+    searches = []
+    for i in range(40):
+        held = wrapped(misread(" ".join(texts[i % 5].split()[i % 7 : 18 + i]), 0.02, rng), rng.choice([12, 30, 300]))
+        lines = [plain(x) for line in held for x in (line, *wrapped(prose(rng, i % 4 * 3), 20))]
+        order = np.array(rng.sample(range(len(lines)), len(lines))) if i % 2 else None
+        if order is not None:  # what is held stands so in the other order only
+            lines = [lines[k] for k in np.argsort(order)]
+        searches.append((lines, order, passages))
+    got = list(longest_runs(searches, 20))
+    assert sum(n >= 20 for page in got for n in page) > 20
+    for (lines, order, _), page in zip(searches, got):
+        orders = [lines] if order is None else [lines, [lines[k] for k in order]]
+        alone = [max(longest_run(p, Lines(x), 20) for x in orders) for p in passages]
+        assert [n if n >= 20 else 0 for n in page] == [n if n >= 20 else 0 for n in alone]
+
+
+def test_letters_of_any_alphabet_are_the_same_the_fast_way():
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]):
+        text = f"A!{c}!b_{c}\n"
+        slow = re.sub(r"[^\w\n]+|_+", "", re.sub(r"(?<=[^\W\d_])!(?=[^\W\d_])", "1", text.lower()))
+        assert plain(text) == slow
